@@ -31,9 +31,18 @@ def roll(agg: Callable[[Column], Column], x: Column | str, n: int, m: int | None
     return F.when(F.count(x).over(frame) >= (n if m is None else m), agg(x).over(frame))
 
 
+def corr_of(x: Column | str, y: Column | str, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation of complete pairs, null instead of a division by zero."""
+    x, y = _col(x), _col(y)
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = (F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y))
+    cov, sx, sy = parts if over is None else (p.over(over) for p in parts)
+    return F.try_divide(cov, sx * sy)
+
+
 def roll_corr(x: Column | str, y: Column | str, n: int, m: int, w: WindowSpec) -> Column:
     frame = w.rowsBetween(-(n - 1), 0)
-    return F.when(F.count("*").over(frame) >= m, F.nanvl(F.corr(_col(x), _col(y)).over(frame), F.lit(None).cast("double")))
+    return F.when(F.count("*").over(frame) >= m, corr_of(x, y, frame))
 
 
 def lag(x: Column | str, k: int, w: WindowSpec | None = None) -> Column:

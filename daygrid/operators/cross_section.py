@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrid.config import SETTINGS, VALUE_BUCKETS
-from daygrid.functions.rolling import DATE, ENTITY, chg, clip, ratio, roll, roll_corr
+from daygrid.functions.rolling import DATE, ENTITY, chg, clip, corr_of, ratio, roll, roll_corr
 from daygrid.operators import ordered
 
 
@@ -76,10 +76,8 @@ def rank_ic(df: DataFrame, signal: str, ret: str, by: list[str], max_names: int
     else:
         pairs = ordered.average_ranks(pairs, by, signal, "_rs", "_ns")
         pairs = ordered.average_ranks(pairs, by, ret, "_rr", "_nr")
-    # ranks are shifted by their mean through corr itself; NaN (no spread) becomes null
-    corr = F.corr("_rs", "_rr")
     return pairs.groupBy(*by).agg(
-        F.when((F.count("*") >= SETTINGS.min_names_ic) & (F.stddev_pop("_rs") > 0) & (F.stddev_pop("_rr") > 0), corr).alias("ic"),
+        F.when(F.count("*") >= SETTINGS.min_names_ic, corr_of("_rs", "_rr")).alias("ic"),
         F.count("*").alias("n_pairs"),
     )
 
@@ -91,10 +89,13 @@ def rolling_ic(ic: DataFrame, window: int = 13) -> DataFrame:
 
 
 def ic_summary(ic: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, population deviation, information ratio, share positive and count."""
+    """Mean, population deviation, information ratio, share positive and count.
+
+    A coefficient within floating-point noise of zero is not positive.
+    """
     x = F.col("ic")
     base = ic.where(x.isNotNull()).groupBy(*by).agg(
-        F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.avg((x > 0).cast("double")).alias("p"), F.count(x).alias("n")
+        F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.avg((x > 1e-12).cast("double")).alias("p"), F.count(x).alias("n")
     )
     return base.select(
         *by, F.round("m", 4).alias("mean_ic"), F.round("s", 4).alias("ic_std"),
@@ -117,7 +118,7 @@ def pairwise_spearman(df: DataFrame, signals: list[str], keys: list[str]) -> Dat
     """Long (left, right, corr) table: every pair is one aggregate over the same scan."""
     ranked = complete_rank_vectors(df, signals, keys)
     pairs = [(a, b) for i, a in enumerate(signals) for b in signals[i + 1:]]
-    row = ranked.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    row = ranked.agg(*[corr_of(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     entries = F.array(*[
         F.struct(F.lit(a).alias("left_signal"), F.lit(b).alias("right_signal"), F.col(f"c{i}").alias("corr"))
         for i, (a, b) in enumerate(pairs)
