@@ -76,7 +76,7 @@ def _(spark, sf):
 @query("C02_composite_fixed", WIDE_SQL + """, av AS (SELECT CASE WHEN count(fundamentals) > 0 THEN 0.55::DOUBLE ELSE 0 END + CASE WHEN count(momentum) > 0 THEN 0.175::DOUBLE ELSE 0 END
     + CASE WHEN count(flows) > 0 THEN 0.125::DOUBLE ELSE 0 END AS t FROM wide)
   SELECT entity, date, round(CASE WHEN (fundamentals IS NOT NULL)::INT + (momentum IS NOT NULL)::INT + (flows IS NOT NULL)::INT >= 2 THEN
-    (coalesce(fundamentals, 0) * 0.55::DOUBLE + coalesce(momentum, 0) * 0.175::DOUBLE + coalesce(flows, 0) * 0.125::DOUBLE) / t END, 6) AS composite FROM wide, av""")
+    round((coalesce(fundamentals, 0) * 0.55::DOUBLE + coalesce(momentum, 0) * 0.175::DOUBLE + coalesce(flows, 0) * 0.125::DOUBLE) / t, 10) END, 6) AS composite FROM wide, av""")
 def _(spark, sf):
     return C.composite_fixed(wide_scores(spark, sf)).select(ENTITY, DATE, r6("composite").alias("composite"))
 
@@ -375,10 +375,10 @@ def _(spark, sf):
     return G.with_proxies(benchmark(spark, sf)).select(DATE, r6("ret").alias("ret"), r6("nav").alias("nav"))
 
 
-@query("G08_exposure_diagnostics", BRAND + EXPO_SQL + " SELECT date, round(btc, 6) AS btc_price, round(btc_trend, 6) AS btc_trend, round(vol_scalar, 6) AS vol_scalar, round(dd_scalar, 6) AS dd_scalar, round(exposure, 6) AS exposure FROM expo")
+@query("G08_exposure_diagnostics", BRAND + EXPO_SQL + " SELECT date, btc AS btc_price, round(btc_trend, 6) AS btc_trend, round(vol_scalar, 6) AS vol_scalar, round(dd_scalar, 6) AS dd_scalar, round(exposure, 6) AS exposure FROM expo")
 def _(spark, sf):
     d = G.diagnostics(benchmark(spark, sf))
-    return d.select(DATE, *[r6(c).alias(c) for c in ("btc_price", "btc_trend", "vol_scalar", "dd_scalar", "exposure")])
+    return d.select(DATE, "btc_price", *[r6(c).alias(c) for c in ("btc_trend", "vol_scalar", "dd_scalar", "exposure")])
 
 
 @query("G08_exposure_summary", BRAND + EXPO_SQL + """ SELECT count(*) AS n_dates, round(avg(exposure), 6) AS mean_exposure, round(median(exposure), 6) AS median_exposure, round(min(exposure), 6) AS min_exposure,
@@ -389,7 +389,7 @@ def _(spark, sf):
     return s.select("n_dates", *[r6(c).alias(c) for c in s.columns if c != "n_dates"])
 
 
-@query("G09_weekly_regime", BRAND + REGIME_SQL + " SELECT date, round(btc, 6) AS btc_close, round(btc_weekly_close, 6) AS btc_weekly_close, round(btc_20w_ma, 6) AS btc_20w_ma, regime FROM reg JOIN btc USING (date)")
+@query("G09_weekly_regime", BRAND + REGIME_SQL + " SELECT date, btc AS btc_close, btc_weekly_close, round(btc_20w_ma, 6) AS btc_20w_ma, regime FROM reg JOIN btc USING (date)")
 def _(spark, sf):
     r = regime(spark, sf)
-    return r.select(DATE, *[r6(c).alias(c) for c in ("btc_close", "btc_weekly_close", "btc_20w_ma")], "regime")
+    return r.select(DATE, "btc_close", "btc_weekly_close", r6("btc_20w_ma").alias("btc_20w_ma"), "regime")
