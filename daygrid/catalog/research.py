@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from daygrid.catalog.base import BRAND, query, r6
 from daygrid.catalog.cross_section import LABELS, ic_sql, names, rank_z_sql
 from daygrid.catalog.panel import DEMO_PERIODS
-from daygrid.catalog.score import (DEC_SQL, DEMO, ELIG_SQL, REGIME_SQL, Z_SQL, benchmark, decided_scores, eligible, regime, renorm_sql, z_long)
+from daygrid.catalog.score import (DEC_SQL, DEMO, ELIG_SQL, REGIME_SQL, Z_SQL, benchmark, decided_frame, decided_scores, regime, renorm_sql, z_wide)
 from daygrid.config import FAMILIES
 from daygrid.functions.rolling import DATE, ENTITY, lag
+from daygrid.operators import exposure as G
 from daygrid.operators import portfolio as B
 from daygrid.operators import research as W
 from daygrid.operators import score as C
 from daygrid.plans import signals as S
 from daygrid.sources import tables as T
+from daygrid.sources.store import saved
 
 P = DEMO_PERIODS
 
@@ -95,23 +97,32 @@ def registry(spark):
     return spark.createDataFrame(REGISTRY, "seq int, family string, signal string")
 
 
+Z_COLUMNS = {f"z_{s}": (f, s) for _, f, s in REGISTRY}
+RETS = ("ret_7", "ret_14", "ret_30")
+
+
 def train_dates(spark, sf):
     return {h: W.period_dates(days(spark, sf), "Train", h, P) for h in (7, 14, 30)}
 
 
-def train_ics(spark, sf, z, lab):
-    return W.signal_ics(z, lab, train_dates(spark, sf), names(spark, sf))
+def labelled_z(spark, sf):
+    """z of every demo signal and the labels, one pass over the panel."""
+    return z_wide(W.label_returns(T.brand_panel(spark, sf, True)), names(spark, sf), RETS)
+
+
+def train_table(spark, sf, z):
+    return W.ic_table(W.signal_ics(z, Z_COLUMNS, train_dates(spark, sf), names(spark, sf)), registry(spark))
 
 
 @query("W07_composite_ic", DEC_SQL + f""", cmp AS (SELECT entity, date, {renorm_sql({'fundamentals': 0.25, 'momentum': 0.4, 'flows': 0.25, 'factor_improvement': 0.1})} AS s FROM wide4),
   lab AS (SELECT entity, date, {', '.join(f'lead(price, {h + 1}) OVER e / nullif(lead(price, 1) OVER e, 0) - 1 AS ret_{h}' for h in (7, 14, 30))} FROM panel WINDOW e AS (PARTITION BY entity ORDER BY date))
   SELECT round(avg(ic), 6) AS mean_ic, count(*) AS n FROM (""" + " UNION ALL ".join(
-    f"SELECT ic FROM ({ic_sql(f'(SELECT cmp.*, ret_{h} AS r FROM cmp JOIN lab USING (entity, date) WHERE date IN ({period_sql(chr(86) + chr(97) + chr(108) + chr(105) + chr(100) + chr(97) + chr(116) + chr(105) + chr(111) + chr(110), h)}))', 's', 'r')}) WHERE ic IS NOT NULL" for h in (7, 14, 30)) + ")")
+    f"SELECT ic FROM ({ic_sql(f'(SELECT cmp.*, ret_{h} AS r FROM cmp JOIN lab USING (entity, date) WHERE date IN ({period_sql('Validation', h)}))', 's', 'r')}) WHERE ic IS NOT NULL" for h in (7, 14, 30)) + ")")
 def _(spark, sf):
     ws = {"fundamentals": 0.25, "momentum": 0.4, "flows": 0.25, "factor_improvement": 0.1}
-    s = decided_scores(spark, sf).withColumn("z", C.renormalised(ws)).select(ENTITY, DATE, F.lit("all").alias("family"), F.lit("composite").alias("signal"), "z")
+    s = decided_frame(W.label_returns(T.brand_panel(spark, sf, True)), names(spark, sf), RETS).withColumn("z", C.renormalised(ws))
     dates = {h: W.period_dates(days(spark, sf), "Validation", h, P) for h in (7, 14, 30)}
-    ics = W.signal_ics(s.where("z IS NOT NULL"), W.label_returns(T.brand_panel(spark, sf)), dates, names(spark, sf))
+    ics = W.signal_ics(s, {"z": ("all", "composite")}, dates, names(spark, sf))
     return ics.agg(r6(F.avg("ic")).alias("mean_ic"), F.count("*").alias("n"))
 
 
@@ -125,8 +136,7 @@ _IC_COLS = ("mean_ic_7d", "mean_ic_14d", "mean_ic_30d", "mean_ic_avg")
 
 @query("W08_signal_ic_table", _TABLE_SQL + " SELECT family, signal, " + ", ".join(f"round({c}, 6) AS {c}" for c in _IC_COLS) + ", n_ic_7d, n_ic_14d, n_ic_30d, sign, selected FROM dt")
 def _(spark, sf):
-    p = T.brand_panel(spark, sf, True)
-    t = W.ic_table(train_ics(spark, sf, z_long(spark, sf, p), W.label_returns(p)), registry(spark))
+    t = train_table(spark, sf, labelled_z(spark, sf))
     return t.select("family", "signal", *[r6(c).alias(c) for c in _IC_COLS], "n_ic_7d", "n_ic_14d", "n_ic_30d", "sign", "selected")
 
 
@@ -137,12 +147,16 @@ _PAIR_SQL = _TABLE_SQL + f""", sz AS (SELECT zz.entity, zz.date, dt.family, dt.s
   pc AS (SELECT family, left_signal, right_signal, abs(corr(rx, ry)) AS corr FROM rk GROUP BY 1, 2, 3)"""
 
 
+def table_and_pairs(spark, sf):
+    """IC table and pair correlations; z-scores and the small table are written once, both branches read them."""
+    z = saved(labelled_z(spark, sf), "z")
+    t = saved(train_table(spark, sf, z), "ic-table")
+    return t, W.pair_correlations(z, Z_COLUMNS, t, W.period_dates(days(spark, sf), "Train", 14, P))
+
+
 @query("W09_signal_pair_correlations", _PAIR_SQL + " SELECT family, left_signal, right_signal, round(corr, 6) AS corr FROM pc")
 def _(spark, sf):
-    p = T.brand_panel(spark, sf, True)
-    z = z_long(spark, sf, p)
-    t = W.ic_table(train_ics(spark, sf, z, W.label_returns(p)), registry(spark))
-    c = W.pair_correlations(z, t, W.period_dates(days(spark, sf), "Train", 14, P))
+    _, c = table_and_pairs(spark, sf)
     return c.select("family", "left_signal", "right_signal", r6("corr").alias("corr"))
 
 
@@ -156,10 +170,7 @@ def _(spark, sf):
   d3 AS (SELECT o.family, o.loser FROM ordp o WHERE k = 3 AND NOT EXISTS (SELECT 1 FROM d12 WHERE d12.loser IN (o.left_signal, o.right_signal)))
   SELECT family, signal, sign, selected AND signal NOT IN (SELECT loser FROM d12 UNION ALL SELECT loser FROM d3) AS selected FROM dt""")
 def _(spark, sf):
-    p = T.brand_panel(spark, sf, True)
-    z = z_long(spark, sf, p)
-    t = W.ic_table(train_ics(spark, sf, z, W.label_returns(p)), registry(spark))
-    c = W.pair_correlations(z, t, W.period_dates(days(spark, sf), "Train", 14, P))
+    t, c = table_and_pairs(spark, sf)
     return W.dedupe_signals(t, c, 0.2).select("family", "signal", "sign", "selected")
 
 
@@ -169,28 +180,35 @@ PRESET = {"fundamentals": 0.25, "momentum": 0.4, "flows": 0.25, "factor_improvem
 _BIG = ELIG_SQL.replace("volume * 60", "volume * 400").replace("mcap * 40 ", "mcap * 4000 ")
 STUDY_SQL = DEC_SQL + REGIME_SQL + _BIG + BTC_RET + f""", lab AS (SELECT entity, date, {', '.join(f'lead(price, {h + 1}) OVER e / nullif(lead(price, 1) OVER e, 0) - 1 AS ret_{h}, lead(price, 1) OVER e AS entry_{h}, lead(price, {h + 1}) OVER e AS exit_{h}' for h in (7, 14, 30))}
     FROM panel WINDOW e AS (PARTITION BY entity ORDER BY date)),
-  study AS (SELECT w.entity, w.date, {renorm_sql(PRESET)} AS score, ret_14 AS ret, entry_14 AS entry, exit_14 AS leave, eligible_base AS eligible, shortable AND w.entity <> 'Brand#4' AS shortable, regime
+  study AS (SELECT w.entity, w.date, {renorm_sql(PRESET)} AS score, ret_14 * 0.02::DOUBLE AS ret, entry_14 AS entry, exit_14 AS leave, eligible_base AS eligible, shortable AND w.entity <> 'Brand#4' AS shortable, regime
     FROM wide4 w JOIN lab USING (entity, date) JOIN elig USING (entity, date) JOIN reg USING (date))"""
 TEST14 = every_sql(period_sql("Test", 14), 14)
 
 
-def big_eligible(spark, sf):
-    m = T.brand_master(spark, sf)
-    m = m.withColumn("excluded", C.is_excluded("ticker", ["ticker", "name", "category"]))
-    p = T.brand_panel(spark, sf).select(ENTITY, DATE, "price", (F.col("volume") * 400).alias("volume"), (F.col("mcap") * 4000).alias("mcap"))
-    return C.eligibility(p, m)
+STUDY_KEEP = ("ret", "entry", "leave", "eligible", "shortable", "regime")
 
 
 def study(spark, sf, dates=None):
-    scores = decided_scores(spark, sf).select(ENTITY, DATE, C.renormalised(PRESET).alias("score"))
+    """Scores, labels, flags and regime per entity and day, carried through one pass over the panel.
+
+    The demo prices are noise, so returns are scaled to keep compounding in range.
+    """
+    daily, limits = T.brand_daily(spark, sf), T.bounds(spark, sf)
+    bench = saved(T.market_close(daily, limits), "benchmark")
+    m = T.brand_master(spark, sf)
+    m = m.withColumn("excluded", C.is_excluded("ticker", ["ticker", "name", "category"]))
+    p = T.with_benchmark(T.brand_panel(spark, sf), bench)
+    lab = W.label_returns(p, keep_legs=True, horizons=(14,)).withColumnsRenamed({"entry_14": "entry", "exit_14": "leave"}).withColumn("ret", F.col("ret_14") * 0.02)
+    # thresholds are met at the demo's scale by larger units
+    own = {c: F.col(c) for c in ("mcap", "volume")}
+    flags = C.eligibility(lab.withColumns({"mcap": own["mcap"] * 4000, "volume": own["volume"] * 400}), m).withColumns({
+        "mcap": F.col("mcap") / 4000, "volume": F.col("volume") / 400}).withColumnRenamed("eligible_base", "eligible")
+    named = B.block_shorts(flags, m.select(ENTITY, F.col("ticker").alias("token")), ("T4",))
+    rows = named.join(F.broadcast(G.weekly_regime(bench, bench).select(DATE, "regime")), DATE, "left")
+    out = decided_frame(rows, names(spark, sf), STUDY_KEEP).withColumn("score", C.renormalised(PRESET))
     if dates is not None:
-        scores = scores.join(F.broadcast(dates), DATE, "left_semi")
-    lab = W.label_returns(T.brand_panel(spark, sf), keep_legs=True, horizons=(14,)).select(
-        ENTITY, DATE, F.col("ret_14").alias("ret"), F.col("entry_14").alias("entry"), F.col("exit_14").alias("leave"))
-    flags = big_eligible(spark, sf).select(ENTITY, DATE, F.col("eligible_base").alias("eligible"), "shortable")
-    rows = scores.join(lab, [ENTITY, DATE]).join(flags, [ENTITY, DATE]).join(F.broadcast(regime(spark, sf).select(DATE, "regime")), DATE)
-    master = T.brand_master(spark, sf).select(ENTITY, F.col("ticker").alias("token"))
-    return B.block_shorts(rows, master, ("T4",))
+        out = out.join(F.broadcast(dates), DATE, "left_semi")
+    return out.select(ENTITY, DATE, "score", *STUDY_KEEP)
 
 
 def test_dates(spark, sf):
@@ -212,9 +230,9 @@ def _(spark, sf):
   q AS (""" + " UNION ALL ".join(f"SELECT family, {h} AS horizon, date, ic FROM (" + ic_sql(f"(SELECT fl.*, ret_{h} AS r FROM fl JOIN lab USING (entity, date) WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31')", "z", "r", "family, date") + ")" for h in (7, 14, 30)) + """)
   SELECT family, regime, horizon, round(avg(ic), 6) AS mean_ic, count(ic) AS n_periods FROM q JOIN reg USING (date) WHERE regime IS NOT NULL GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    s = decided_scores(spark, sf).unpivot([ENTITY, DATE], list(FAMILIES), "family", "z").where("z IS NOT NULL").withColumn("signal", F.col("family"))
+    s = decided_frame(W.label_returns(T.brand_panel(spark, sf, True)), names(spark, sf), RETS)
     train = days(spark, sf).where(F.col(DATE).between(F.lit(P.train_start), F.lit(P.train_end)))
-    ics = W.signal_ics(s, W.label_returns(T.brand_panel(spark, sf)), {h: train for h in (7, 14, 30)}, names(spark, sf))
+    ics = W.signal_ics(s, {f: (f, f) for f in FAMILIES}, {h: train for h in (7, 14, 30)}, names(spark, sf))
     r = regime(spark, sf).where("regime IS NOT NULL").select(DATE, "regime")
     return ics.join(F.broadcast(r), DATE).groupBy("family", "regime", "horizon").agg(r6(F.avg("ic")).alias("mean_ic"), F.count("ic").alias("n_periods"))
 
@@ -255,15 +273,20 @@ def _with_variants(rows, variants):
 FLAT = ("always_l_s", "long_only", "short_only", "regime_switch")
 
 
-def flat_study(spark, sf, variants=FLAT, dates=None, n=5):
+def study_candidates(spark, sf, dates=None, n=5):
+    """Ranked candidates of the study: a few rows per rebalance date, written once for all that follows."""
     rows = study(spark, sf, test_dates(spark, sf) if dates is None else dates).withColumn("model", F.lit("heuristic"))
-    cands = _with_variants(B.candidates(rows, ["model"], n), variants)
-    return B.flat_positions(cands, ["model", "variant"], F.col("variant"), n), rows
+    return saved(B.candidates(rows, ["model"], n, max_names=names(spark, sf)), "candidates")
+
+
+def flat_study(spark, sf, variants=FLAT, dates=None, n=5):
+    cands = _with_variants(study_candidates(spark, sf, dates, n), variants)
+    return B.flat_positions(cands, ["model", "variant"], F.col("variant"), n)
 
 
 def _pos_query(variant):
     def run(spark, sf):
-        pos, _ = flat_study(spark, sf, (variant,))
+        pos = flat_study(spark, sf, (variant,))
         return pos.select(ENTITY, DATE, "weight", r6("ret").alias("ret"), "regime")
 
     return run
@@ -275,16 +298,14 @@ for _v in FLAT:
 
 @query("B02_sticky_shorts")
 def _(spark, sf):
-    rows = study(spark, sf, test_dates(spark, sf)).withColumn("model", F.lit("heuristic"))
-    out = B.sticky_positions(B.candidates(rows, ["model"]), ["model"])
+    out = B.sticky_positions(study_candidates(spark, sf), ["model"])
     return out.select(ENTITY, DATE, "weight", r6("ret").alias("ret"))
 
 
 @query("B03_overlap_removal", STUDY_SQL + positions_sql("always_l_s") + """ SELECT date, count(*) FILTER (NOT EXISTS (SELECT 1 FROM l5 WHERE l5.date = s5.date AND l5.entity = s5.entity)) AS n_short,
   count(*) FILTER (EXISTS (SELECT 1 FROM l5 WHERE l5.date = s5.date AND l5.entity = s5.entity)) AS n_overlap FROM s5 GROUP BY 1""")
 def _(spark, sf):
-    rows = study(spark, sf, test_dates(spark, sf)).withColumn("model", F.lit("heuristic"))
-    five = B.candidates(rows, ["model"]).where("pos <= 5")
+    five = study_candidates(spark, sf).where("pos <= 5")
     longs = five.where("side = 1").select(DATE, ENTITY, F.lit(True).alias("held"))
     s = five.where("side = -1").join(longs, [DATE, ENTITY], "left")
     return s.groupBy(DATE).agg(F.count_if(F.col("held").isNull()).alias("n_short"), F.count("held").alias("n_overlap"))
@@ -305,7 +326,7 @@ _R = ("gross_return", "net_return", "turnover", "cost")
 
 def _bt_query(variant):
     def run(spark, sf):
-        pos, _ = flat_study(spark, sf, (variant,))
+        pos = flat_study(spark, sf, (variant,))
         out = B.backtest(pos, ["model", "variant"])
         return out.select(DATE, *[r6(c).alias(c) for c in _R], "n_positions", "regime")
 
@@ -321,8 +342,10 @@ for _v in FLAT:
     round(cost * abs(weight) / g, 6) AS cost_allocated, round(weight * ret - cost * abs(weight) / g, 6) + 0.0::DOUBLE AS return_contribution FROM pos JOIN rets USING (date) JOIN g USING (date)""")
 def _(spark, sf):
     keys = ["model", "variant"]
-    pos, rows = flat_study(spark, sf, ("long_only",))
-    c = B.constituents(pos, B.backtest(pos, keys), keys).join(rows.select(ENTITY, DATE, "entry", "leave"), [ENTITY, DATE])
+    legs = W.label_returns(T.brand_panel(spark, sf), keep_legs=True, horizons=(14,)).select(
+        ENTITY, DATE, F.col("entry_14").alias("entry"), F.col("exit_14").alias("leave"))
+    pos = flat_study(spark, sf, ("long_only",))
+    c = B.constituents(pos, B.backtest(pos, keys), keys).join(legs, [ENTITY, DATE])
     return c.select(ENTITY, DATE, "side", "weight", r6("entry").alias("entry_price"), r6("leave").alias("exit_price"), r6("ret").alias("asset_return"),
                     r6("cost_allocated").alias("cost_allocated"), r6("return_contribution").alias("return_contribution"))
 
@@ -330,7 +353,7 @@ def _(spark, sf):
 @query("B07_nav", STUDY_SQL + positions_sql("long_only") + RET_SQL + " SELECT date, round(product(1 + net_return) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS nav FROM rets")
 def _(spark, sf):
     keys = ["model", "variant"]
-    pos, _ = flat_study(spark, sf, ("long_only",))
+    pos = flat_study(spark, sf, ("long_only",))
     return B.nav(B.backtest(pos, keys), keys).select(DATE, r6("nav").alias("nav"))
 
 
@@ -338,7 +361,7 @@ def _(spark, sf):
   dd AS (SELECT nav / max(nav) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS d FROM nv) SELECT round(min(d), 6) + 0.0::DOUBLE AS max_drawdown, count(*) AS n FROM dd""")
 def _(spark, sf):
     keys = ["model", "variant"]
-    pos, _ = flat_study(spark, sf, ("long_only",))
+    pos = flat_study(spark, sf, ("long_only",))
     out = B.drawdowns(B.nav(B.backtest(pos, keys), keys), keys)
     return out.agg(r6(F.min("drawdown")).alias("max_drawdown"), F.count("*").alias("n"))
 
@@ -359,7 +382,7 @@ METRIC_SQL = """, j AS (SELECT rets.*, btc_ret_14 AS b, product(1 + net_return)
 
 def metrics_of(spark, sf, variants):
     keys = ["model", "variant"]
-    pos, _ = flat_study(spark, sf, variants)
+    pos = flat_study(spark, sf, variants)
     br = W.benchmark_returns(benchmark(spark, sf)).select(DATE, F.col("btc_ret_14").alias("btc_return"))
     return B.performance(B.backtest(pos, keys).join(F.broadcast(br), DATE, "left"), keys, 14)
 
@@ -382,21 +405,29 @@ def _(spark, sf):
 
 
 def evaluate(spark, sf):
-    p = T.brand_panel(spark, sf, True)
-    lab = W.label_returns(p).select(ENTITY, DATE, "ret_7", "ret_14", "ret_30")
-    scores = decided_scores(spark, sf).select(ENTITY, DATE, C.renormalised(PRESET).alias("score"))
-    flags = big_eligible(spark, sf).select(ENTITY, DATE, "eligible_base", "eligible_sensitivity", "shortable")
+    daily, limits = T.brand_daily(spark, sf), T.bounds(spark, sf)
+    bench = saved(T.market_close(daily, limits), "benchmark")
+    m = T.brand_master(spark, sf)
+    m = m.withColumn("excluded", C.is_excluded("ticker", ["ticker", "name", "category"]))
+    lab = W.label_returns(T.with_benchmark(T.brand_panel(spark, sf), bench))
+    flags = C.eligibility(lab.withColumns({"mcap": F.col("mcap") * 4000, "volume": F.col("volume") * 400}), m).withColumns({
+        "mcap": F.col("mcap") / 4000, "volume": F.col("volume") / 400})
+    rows = flags.join(F.broadcast(G.weekly_regime(bench, bench).select(DATE, "regime")), DATE, "left")
+    scores = decided_frame(rows, names(spark, sf), (*RETS, "eligible_base", "eligible_sensitivity", "shortable", "regime")).withColumn("score", C.renormalised(PRESET))
     plan = None
     for period in ("Train", "Validation", "Test"):
         for h in (7, 14, 30):
             d = W.rebalance_dates(days(spark, sf), period, h, P).select(DATE, F.lit(h).alias("horizon"), F.lit(period).alias("period"))
             plan = d if plan is None else plan.unionByName(d)
-    rows = scores.join(lab, [ENTITY, DATE]).join(flags, [ENTITY, DATE]).join(F.broadcast(plan), DATE).join(F.broadcast(regime(spark, sf).select(DATE, "regime")), DATE, "left")
+    near = scores.join(F.broadcast(plan), DATE)
     ret = F.when(F.col("horizon") == 7, F.col("ret_7")).when(F.col("horizon") == 14, F.col("ret_14")).otherwise(F.col("ret_30"))
-    rows = rows.withColumn("ret", ret).withColumn("_u", F.explode(F.array(*[F.struct(F.lit(u).alias("name"), F.col(u).alias("ok")) for u in ("eligible_base", "eligible_sensitivity")])))
-    rows = rows.withColumns({"eligible_universe": F.col("_u.name"), "eligible": F.col("_u.ok"), "model": F.lit("heuristic")})
+    near = near.withColumn("ret", ret * 0.02).withColumn("_u", F.explode(F.array(*[F.struct(F.lit(u).alias("name"), F.col(u).alias("ok")) for u in ("eligible_base", "eligible_sensitivity")])))
+    near = near.withColumns({"eligible_universe": F.col("_u.name"), "eligible": F.col("_u.ok"), "model": F.lit("heuristic")})
     keys = ["model", "horizon", "period", "eligible_universe"]
-    pos = B.flat_positions(_with_variants(B.candidates(rows, keys), FLAT), [*keys, "variant"], F.col("variant"))
-    br = W.benchmark_returns(benchmark(spark, sf)).unpivot([DATE], ["btc_ret_7", "btc_ret_14", "btc_ret_30"], "_h", "btc_return").withColumn("horizon", F.replace("_h", F.lit("btc_ret_"), F.lit("")).cast("int"))
+    cands = saved(B.candidates(near, keys, max_names=names(spark, sf)), "candidates")
+    flat = B.flat_positions(_with_variants(cands, FLAT), [*keys, "variant"], F.col("variant"))
+    sticky = B.sticky_positions(cands, keys).withColumn("variant", F.lit("sticky_l_s"))
+    pos = saved(flat.unionByName(sticky), "positions")
+    br = W.benchmark_returns(bench).unpivot([DATE], ["btc_ret_7", "btc_ret_14", "btc_ret_30"], "_h", "btc_return").withColumn("horizon", F.replace("_h", F.lit("btc_ret_"), F.lit("")).cast("int"))
     rets = B.backtest(pos, [*keys, "variant"]).join(F.broadcast(br.drop("_h")), [DATE, "horizon"], "left")
     return B.performance(rets, [*keys, "variant"], F.col("horizon"))

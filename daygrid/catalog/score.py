@@ -13,6 +13,7 @@ from daygrid.functions.rolling import DATE, ENTITY
 from daygrid.operators import cross_section as X
 from daygrid.operators import exposure as G
 from daygrid.operators import score as C
+from daygrid.plans import scoring as R
 from daygrid.plans import signals as S
 from daygrid.sources import tables as T
 
@@ -42,14 +43,30 @@ REGIME_SQL = """, wk AS (SELECT CAST(date_trunc('week', date) AS DATE) + 6 AS we
     FROM days d ASOF LEFT JOIN wm ON d.date >= wm.week_end)"""
 
 
-def z_long(spark, sf, panel=None):
+def z_long(spark, sf):
     n = names(spark, sf)
-    p = T.brand_panel(spark, sf, True) if panel is None else panel
+    p = T.brand_panel(spark, sf, True)
     return S.z_signals(S.long_signals(S.signal_frame(p, list(DEMO), n), list(DEMO)), n)
 
 
+def z_wide(panel, n, keep=()):
+    """z_<signal> beside the kept columns, all from one pass over the panel."""
+    frame = R.z_frame(S.signal_frame(panel, list(DEMO), n, tuple(keep)), list(DEMO), n)
+    return frame.withColumnsRenamed({f"_k_{k}": k for k in keep})
+
+
+def plain_families():
+    out = {}
+    for s in DEMO:
+        out.setdefault(_FAM[s], []).append((s, 1))
+    return out
+
+
 def wide_scores(spark, sf):
-    return C.widen(C.family_scores(z_long(spark, sf)), ("fundamentals", "momentum", "flows"))
+    n = names(spark, sf)
+    frame = R.family_means(z_wide(T.brand_panel(spark, sf, True), n), plain_families())
+    have = F.coalesce("fundamentals", "momentum", "flows").isNotNull()
+    return frame.select(ENTITY, DATE, "fundamentals", "momentum", "flows").where(have)
 
 
 WEIGHTS = {"fundamentals": 0.55, "momentum": 0.175, "flows": 0.125}
@@ -117,9 +134,20 @@ DEC_SQL = Z_SQL + ", dec AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {g})"
   wide4 AS (SELECT wide.*, {rank_z_sql('d', 'imd.date')} AS factor_improvement FROM wide JOIN imd ON wide.entity = imd.entity AND wide.date = imd.date)""".replace("rank() OVER (PARTITION BY imd.date", "rank() OVER (PARTITION BY imd.date")
 
 
-def decided_scores(spark, sf, panel=None):
+def decided_frame(panel, n, keep=()):
+    rows = R.decided(z_wide(panel, n, keep), [(f, s, g) for f, s, g, on in DECISIONS if on], n)
+    return rows.where(F.coalesce("fundamentals", "momentum", "flows").isNotNull())
+
+
+def decided_scores(spark, sf):
+    return decided_frame(T.brand_panel(spark, sf, True), names(spark, sf))
+
+
+@query("C06_apply_decisions_long", DEC_SQL + " SELECT entity, date, round(fundamentals, 6) AS fundamentals, round(momentum, 6) AS momentum, round(flows, 6) AS flows, round(factor_improvement, 6) AS factor_improvement FROM wide4")
+def _(spark, sf):
     dec = spark.createDataFrame(DECISIONS, "family string, signal string, sign int, selected boolean")
-    return C.apply_decisions(z_long(spark, sf, panel), dec, names(spark, sf))
+    out = C.apply_decisions(z_long(spark, sf), dec, names(spark, sf))
+    return out.select(ENTITY, DATE, *[r6(f).alias(f) for f in ("fundamentals", "momentum", "flows", "factor_improvement")])
 
 
 @query("C06_decided_family_scores", DEC_SQL + " SELECT entity, date, round(fundamentals, 6) AS fundamentals, round(momentum, 6) AS momentum, round(flows, 6) AS flows, round(factor_improvement, 6) AS factor_improvement FROM wide4")

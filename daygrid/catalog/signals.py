@@ -159,6 +159,8 @@ def _(spark, sf):
   zz AS (SELECT date, ret, """ + rank_z_sql("g14", "date") + """ AS z FROM lab)
   SELECT date, round(ic, 6) AS ic, n_pairs FROM (""" + ic_sql("zz", "z", "ret") + ") WHERE ic IS NOT NULL")
 def _(spark, sf):
-    p, n = T.brand_panel(spark, sf, True), names(spark, sf)
-    z = X.rank_z(S.signal_frame(p, ["revenue_growth"], n), "revenue_growth", [DATE], "z", n, winsor=True)
-    return W.ic_over_dates(z, W.label_returns(p), None, "ret_14", [], n).select(DATE, r6("ic").alias("ic"), "n_pairs")
+    n = names(spark, sf)
+    lab = W.label_returns(T.brand_panel(spark, sf), horizons=(14,))
+    z = X.rank_z(S.signal_frame(lab, ["revenue_growth"], n, ("ret_14",)), "revenue_growth", [DATE], "z", n, winsor=True)
+    ic = X.rank_ic(z, "z", "_k_ret_14", [DATE], n).where("ic IS NOT NULL")
+    return ic.select(DATE, r6("ic").alias("ic"), "n_pairs")

@@ -29,21 +29,33 @@ def block_shorts(rows: DataFrame, master: DataFrame, tokens: tuple[str, ...] = N
     return rows.join(blocked, ENTITY, "left").withColumn("shortable", F.col("shortable") & F.col("_blocked").isNull()).drop("_blocked")
 
 
-def candidates(rows: DataFrame, keys: list[str], n: int = SETTINGS.basket_size, buffer: int = SETTINGS.short_rank_buffer, require_label: bool = True) -> DataFrame:
+def candidates(rows: DataFrame, keys: list[str], n: int = SETTINGS.basket_size, buffer: int = SETTINGS.short_rank_buffer,
+               require_label: bool = True, max_names: int | None = None) -> DataFrame:
     """Top n and bottom max(buffer, 2n) shortable names of every run and date, as two ranked sides.
 
-    rows: keys, entity, date, score, ret, eligible, shortable.  Ranking both
-    sides apart lets each one be cut to its limit before the shuffle.
+    rows: keys, entity, date, score, ret, eligible, shortable.  Bounded dates
+    are ranked both ways in one pass.  Without a bound the sides are ranked
+    apart, so each task first cuts its own rows to the limit and no date is
+    ever gathered whole; save `rows` before, as both sides read it.
     """
     ok = rows.where(F.col("eligible") & F.col("score").isNotNull())
     if require_label:
         ok = ok.where(F.col("ret").isNotNull())
-    part = [*keys, DATE]
-    cols = [*part, ENTITY, "score", "ret"] + (["regime"] if "regime" in rows.columns else [])
+    part, most = [*keys, DATE], max(buffer, 2 * n)
+    extra = ["regime"] if "regime" in rows.columns else []
+    cols = [*part, ENTITY, "score", "ret", *extra]
     top = Window.partitionBy(*part).orderBy(F.desc("score"), ENTITY)
     low = Window.partitionBy(*part).orderBy("score", ENTITY)
+    if X.fits_window(max_names):
+        short_first = Window.partitionBy(*part).orderBy(F.desc("shortable"), "score", ENTITY)
+        ranked = ok.select(*cols, "shortable").withColumns({"_t": F.row_number().over(top), "_b": F.row_number().over(short_first)})
+        sides = F.filter(F.array(
+            F.struct(F.col("_t").alias("pos"), F.lit(1).alias("side")),
+            F.struct(F.when(F.col("shortable"), F.col("_b")).alias("pos"), F.lit(-1).alias("side"))),
+            lambda s: s["pos"] <= F.when(s["side"] == 1, n).otherwise(most))
+        return ranked.select(*cols, F.inline(sides))
     longs = ok.select(*cols).withColumn("pos", F.row_number().over(top)).where(F.col("pos") <= n).withColumn("side", F.lit(1))
-    shorts = ok.where("shortable").select(*cols).withColumn("pos", F.row_number().over(low)).where(F.col("pos") <= max(buffer, 2 * n)).withColumn("side", F.lit(-1))
+    shorts = ok.where("shortable").select(*cols).withColumn("pos", F.row_number().over(low)).where(F.col("pos") <= most).withColumn("side", F.lit(-1))
     return longs.unionByName(shorts)
 
 

@@ -103,21 +103,24 @@ def ic_over_dates(signals: DataFrame, returns: DataFrame, dates: DataFrame | Non
     return X.rank_ic(rows, "z", ret, [*by, DATE], max_names).where(F.col("ic").isNotNull())
 
 
-def signal_ics(signals: DataFrame, returns: DataFrame, dates: dict[int, DataFrame], max_names: int | None) -> DataFrame:
-    """Long IC table (family, signal, horizon, date, ic): signals meet the labels once.
+def signal_ics(frame: DataFrame, signals: dict[str, tuple[str, str]], dates: dict[int, DataFrame], max_names: int | None) -> DataFrame:
+    """Long IC table (family, signal, horizon, date, ic) from one wide frame.
 
-    All horizons are unpivoted from one join, each restricted to its own dates.
+    `frame` holds a z column per signal and the labels `ret_<h>` beside them;
+    `signals` maps the z column to (family, signal).  Rows are cut to the dates
+    of any horizon before signals and horizons are unpivoted.
     """
-    cols = [f"ret_{h}" for h in dates]
-    joined = signals.join(returns.select(ENTITY, DATE, *cols), [ENTITY, DATE])
-    long = joined.select("family", "signal", ENTITY, DATE, "z", F.inline(F.array(*[
-        F.struct(F.lit(h).alias("horizon"), F.col(f"ret_{h}").alias("ret")) for h in dates])))
-    allowed = None
+    plan = None
     for h, d in dates.items():
         one = d.select(DATE).withColumn("horizon", F.lit(h))
-        allowed = one if allowed is None else allowed.unionByName(one)
-    kept = long.join(F.broadcast(allowed), ["horizon", DATE], "left_semi")
-    return X.rank_ic(kept, "z", "ret", ["family", "signal", "horizon", DATE], max_names).where(F.col("ic").isNotNull())
+        plan = one if plan is None else plan.unionByName(one)
+    near = frame.join(F.broadcast(plan.groupBy(DATE).agg(F.collect_set("horizon").alias("_hs"))), DATE)
+    by_horizon = near.select(ENTITY, DATE, *signals, F.inline(F.filter(F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.when(F.array_contains("_hs", h), F.col(f"ret_{h}")).alias("ret")) for h in dates]),
+        lambda x: x["ret"].isNotNull())))
+    long = by_horizon.select(ENTITY, DATE, "horizon", "ret", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("family"), F.lit(s).alias("signal"), F.col(c).alias("z")) for c, (f, s) in signals.items()])))
+    return X.rank_ic(long, "z", "ret", ["family", "signal", "horizon", DATE], max_names).where(F.col("ic").isNotNull())
 
 
 def ic_table(ics: DataFrame, registry: DataFrame, horizons: tuple[int, ...] = SETTINGS.horizons) -> DataFrame:
@@ -133,16 +136,25 @@ def ic_table(ics: DataFrame, registry: DataFrame, horizons: tuple[int, ...] = SE
         "sign": F.when(mean < 0, -1).otherwise(1), "selected": mean.isNotNull()})
 
 
-def pair_correlations(signals: DataFrame, table: DataFrame, dates: DataFrame) -> DataFrame:
+def pair_correlations(frame: DataFrame, signals: dict[str, tuple[str, str]], table: DataFrame, dates: DataFrame) -> DataFrame:
     """Absolute Spearman of signed z between the selected signals of a family, over pairwise complete cells.
 
     Rows are cells, columns the few registered signals; a cell is expanded to
     the pairs of signals (never of rows), and each pair is ranked by value ranges.
+    `table` has one row per registered signal.
     """
-    chosen = table.where("selected").select("family", "signal", "seq", "sign")
-    cells = signals.join(F.broadcast(dates.select(DATE)), DATE, "left_semi").where(F.col("z").isNotNull())
-    signed = cells.join(F.broadcast(chosen), ["family", "signal"]).withColumn("z", F.col("z") * F.col("sign"))
-    per_cell = signed.groupBy("family", ENTITY, DATE).agg(F.array_sort(F.collect_list(F.struct("seq", "signal", "z"))).alias("xs"))
+    chosen = {(r["family"], r["signal"]): (r["seq"], r["sign"]) for r in table.where("selected").select("family", "signal", "seq", "sign").collect()}
+    near = frame.join(F.broadcast(dates.select(DATE)), DATE, "left_semi")
+    entries = [F.struct(F.lit(f).alias("family"), F.lit(chosen[f, s][0]).alias("seq"), F.lit(s).alias("signal"), (F.col(c) * chosen[f, s][1]).alias("z"))
+               for c, (f, s) in signals.items() if (f, s) in chosen]
+    xs = F.filter(F.array(*entries), lambda e: e["z"].isNotNull())
+    families = sorted({f for f, _ in chosen})
+
+    def of(f: str) -> Column:
+        return F.struct(F.lit(f).alias("family"), F.filter("_xs", lambda e: e["family"] == F.lit(f)).alias("xs"))
+
+    groups = F.array(*[of(f) for f in families])
+    per_cell = near.select(xs.alias("_xs")).select(F.inline(groups))
     pairs = F.flatten(F.transform("xs", lambda a: F.transform(
         F.filter("xs", lambda b: b["seq"] > a["seq"]), lambda b: F.struct(
             a["seq"].alias("left_seq"), a["signal"].alias("left_signal"), b["signal"].alias("right_signal"), b["seq"].alias("right_seq"),

@@ -118,15 +118,17 @@ def _final() -> dict[str, Column]:
     }
 
 
-def signal_frame(panel: DataFrame, names: list[str], max_names: int | None = None) -> DataFrame:
-    """Panel to (entity, date, one column per requested signal).
+def signal_frame(panel: DataFrame, names: list[str], max_names: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Panel to (entity, date, one column per requested signal, kept columns).
 
     A metric the panel lacks counts as all null.  Only `growth_composite` and
     `implied_growth` need the cross-section and add an exchange on date.
+    Columns in `keep` (labels, flags) ride along as `_k_<name>`, so they need no
+    second panel and no join back.
     """
     null = F.lit(None).cast("double")
     have = set(panel.columns)
-    base = panel.select(ENTITY, DATE, *[(F.col(m) if m in have else null).alias(m) for m in INPUTS])
+    base = panel.select(ENTITY, DATE, *[(F.col(m) if m in have else null).alias(m) for m in INPUTS], *[F.col(k).alias(f"_k_{k}") for k in keep])
     final = _final()
     extra = set()
     if "implied_growth" in names:
@@ -143,7 +145,7 @@ def signal_frame(panel: DataFrame, names: list[str], max_names: int | None = Non
     if "relative_strength" in names:
         layered = layered.withColumn("relative_strength", F.col("ret_3w") - chg("btc", 21))
     carried = [c for c in ("revenue_btc_corr", "relative_strength") if c in names] + (["cap_rev"] if "cap_rev" in extra else [])
-    out = layered.select(ENTITY, DATE, *[final[n].alias(n) for n in want], *carried)
+    out = layered.select(ENTITY, DATE, *[final[n].alias(n) for n in want], *carried, *[f"_k_{k}" for k in keep])
     if "implied_growth" in names:
         if X.fits_window(max_names):
             out = out.withColumn("_m", F.median("cap_rev").over(Window.partitionBy(DATE)))
@@ -156,7 +158,7 @@ def signal_frame(panel: DataFrame, names: list[str], max_names: int | None = Non
         out = X.rank_z(out, "revenue_growth", [DATE], "_zr", max_names, winsor=True)
         out = X.rank_z(out, "dau_growth", [DATE], "_zu", max_names, winsor=True)
         out = out.withColumn("growth_composite", F.col("_zr") + F.col("_zu"))
-    return out.select(ENTITY, DATE, *names)
+    return out.select(ENTITY, DATE, *names, *[f"_k_{k}" for k in keep])
 
 
 def research_signals(panel: DataFrame) -> DataFrame:
