@@ -33,7 +33,7 @@ def r6(x: Column | str, k: int = 6) -> Column:
 def daily_sql(entity: str, source: str) -> str:
     return f"""
     SELECT {entity} AS entity, CAST(l_shipdate AS DATE) AS date,
-      arg_max(l_extendedprice / l_quantity, ROW(l_orderkey, l_linenumber, l_extendedprice / l_quantity)) AS price,
+      sum(round(l_extendedprice)) / sum(l_quantity) AS price,
       sum(round(l_extendedprice * (1 - l_discount))) AS revenue,
       sum(round(l_extendedprice * l_tax)) AS fees,
       sum(round(l_extendedprice)) FILTER (l_returnflag = 'R') AS issuance,

@@ -360,7 +360,9 @@ def _(spark, sf):
     return P.to_wide(series.join(catalogue, "metric", "left_semi"), ["a", "n"])
 
 
-@query("P33_multi_symbol_panel", BRAND + " SELECT entity, date, price AS close FROM daily WHERE entity IN ('Brand#1', 'Brand#2', 'Brand#3')")
+@query("P33_multi_symbol_panel", """WITH daily AS (SELECT p_brand AS entity, CAST(l_shipdate AS DATE) AS date, arg_max(l_extendedprice / l_quantity,
+    ROW(l_orderkey, l_linenumber, l_extendedprice / l_quantity)) AS price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+  SELECT entity, date, price AS close FROM daily WHERE entity IN ('Brand#1', 'Brand#2', 'Brand#3')""")
 def _(spark, sf):
     part = T.table(spark, sf, "part").where(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"))
     unit = F.col("l_extendedprice") / F.col("l_quantity")
