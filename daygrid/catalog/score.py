@@ -85,22 +85,22 @@ def regime(spark, sf):
     return G.weekly_regime(b, b)
 
 
-@query("C01_family_score", FAM_SQL + " SELECT entity, date, family, round(score, 6) AS score FROM fam")
+@query("C01_family_score", FAM_SQL + " SELECT entity, date, family, score FROM fam")
 def _(spark, sf):
-    return C.family_scores(z_long(spark, sf)).withColumn("score", r6("score"))
+    return C.family_scores(z_long(spark, sf))
 
 
 @query("C02_composite_fixed", WIDE_SQL + """, av AS (SELECT CASE WHEN count(fundamentals) > 0 THEN 0.55::DOUBLE ELSE 0 END + CASE WHEN count(momentum) > 0 THEN 0.175::DOUBLE ELSE 0 END
     + CASE WHEN count(flows) > 0 THEN 0.125::DOUBLE ELSE 0 END AS t FROM wide)
-  SELECT entity, date, round(CASE WHEN (fundamentals IS NOT NULL)::INT + (momentum IS NOT NULL)::INT + (flows IS NOT NULL)::INT >= 2 THEN
-    round((coalesce(fundamentals, 0) * 0.55::DOUBLE + coalesce(momentum, 0) * 0.175::DOUBLE + coalesce(flows, 0) * 0.125::DOUBLE) / t, 10) END, 6) AS composite FROM wide, av""")
+  SELECT entity, date, CASE WHEN (fundamentals IS NOT NULL)::INT + (momentum IS NOT NULL)::INT + (flows IS NOT NULL)::INT >= 2 THEN
+    round((coalesce(fundamentals, 0) * 0.55::DOUBLE + coalesce(momentum, 0) * 0.175::DOUBLE + coalesce(flows, 0) * 0.125::DOUBLE) / t, 10) END AS composite FROM wide, av""")
 def _(spark, sf):
-    return C.composite_fixed(wide_scores(spark, sf)).select(ENTITY, DATE, r6("composite").alias("composite"))
+    return C.composite_fixed(wide_scores(spark, sf)).select(ENTITY, DATE, "composite")
 
 
-@query("C03_composite_renormalised", COMP_SQL + " SELECT entity, date, round(composite, 6) AS composite FROM comp")
+@query("C03_composite_renormalised", COMP_SQL + " SELECT entity, date, composite FROM comp")
 def _(spark, sf):
-    return composite(spark, sf).select(ENTITY, DATE, r6("composite").alias("composite"))
+    return composite(spark, sf).select(ENTITY, DATE, "composite")
 
 
 _BULL, _BEAR = {"fundamentals": 0.2, "momentum": 0.6, "flows": 0.2}, {"fundamentals": 0.6, "momentum": 0.0, "flows": 0.4}
@@ -108,10 +108,10 @@ _BULL, _BEAR = {"fundamentals": 0.2, "momentum": 0.6, "flows": 0.2}, {"fundament
 
 @query("C04_regime_composite", WIDE_SQL + REGIME_SQL + f""", rd AS (SELECT date, last_value(regime IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS regime
     FROM (SELECT DISTINCT date FROM wide) LEFT JOIN reg USING (date))
-  SELECT entity, date, round(CASE WHEN regime = 'Bearish' THEN {renorm_sql(_BEAR)} ELSE {renorm_sql(_BULL)} END, 6) AS composite FROM wide JOIN rd USING (date)""")
+  SELECT entity, date, CASE WHEN regime = 'Bearish' THEN {renorm_sql(_BEAR)} ELSE {renorm_sql(_BULL)} END AS composite FROM wide JOIN rd USING (date)""")
 def _(spark, sf):
     out = C.regime_composite(wide_scores(spark, sf), _BULL, _BEAR, regime(spark, sf))
-    return out.select(ENTITY, DATE, r6("composite").alias("composite"))
+    return out.select(ENTITY, DATE, "composite")
 
 
 IMPROVE_SQL = f""", imb AS (SELECT entity, date, {renorm_sql(EQUAL3)} AS b FROM wide),
@@ -165,14 +165,14 @@ def _(spark, sf):
     return C.change_and_lag(z, "a", ["b"]).select(ENTITY, DATE, *[r6(c).alias(c) for c in ("a_4w_change", "a_lag_30d", "b_lag_30d")])
 
 
-_RANKED = COMP_SQL + """ SELECT entity, date, round(composite, 6) AS composite, row_number() OVER (PARTITION BY date ORDER BY composite DESC, entity) AS rank,
+_RANKED = COMP_SQL + """ SELECT entity, date, composite, row_number() OVER (PARTITION BY date ORDER BY composite DESC, entity) AS rank,
   row_number() OVER (PARTITION BY date ORDER BY composite DESC, entity) <= 8 AS selected FROM comp WHERE composite IS NOT NULL AND entity <> 'Brand#3'"""
 
 
 def _select(spark, sf, bound):
     ok = T.brands(spark, sf).where(F.col(ENTITY) != "Brand#3")
     out = C.rank_and_select(composite(spark, sf), "composite", max_names=bound, eligible=ok)
-    return out.select(ENTITY, DATE, r6("composite").alias("composite"), "rank", "selected")
+    return out.select(ENTITY, DATE, "composite", "rank", "selected")
 
 
 @query("C08_rank_and_select", _RANKED)
@@ -333,22 +333,22 @@ def _(spark, sf):
 
 @query("C17_factor_lag_snapshot", COMP_SQL + """, k AS (SELECT entity AS ticker, date, composite, momentum FROM comp),
   c AS (SELECT ticker, max(date) AS d FROM k WHERE date <= (SELECT max(date) FROM k) - 30 GROUP BY 1)
-  SELECT ticker, date AS factor_lag_date, round(composite, 6) AS composite_lag, round(momentum, 6) AS momentum_lag FROM k JOIN c USING (ticker) WHERE date = d""")
+  SELECT ticker, date AS factor_lag_date, composite AS composite_lag, momentum AS momentum_lag FROM k JOIN c USING (ticker) WHERE date = d""")
 def _(spark, sf):
     k = composite(spark, sf).withColumn("ticker", F.col(ENTITY))
     out = C.lagged_snapshot(k, ["composite", "momentum"])
-    return out.select("ticker", "factor_lag_date", r6("composite_lag").alias("composite_lag"), r6("momentum_lag").alias("momentum_lag"))
+    return out.select("ticker", "factor_lag_date", "composite_lag", "momentum_lag")
 
 
 @query("C18_factor_table", COMP_SQL + """, k AS (SELECT * FROM comp WHERE date = (SELECT max(date) FROM comp) AND composite IS NOT NULL)
-  (SELECT 'top' AS side, entity, round(composite, 6) AS composite FROM k ORDER BY k.composite DESC, entity LIMIT 5)
-  UNION ALL (SELECT 'bottom', entity, round(composite, 6) FROM k ORDER BY k.composite, entity LIMIT 5)""")
+  (SELECT 'top' AS side, entity, composite FROM k ORDER BY k.composite DESC, entity LIMIT 5)
+  UNION ALL (SELECT 'bottom', entity, composite FROM k ORDER BY k.composite, entity LIMIT 5)""")
 def _(spark, sf):
     k = composite(spark, sf)
     k = k.where(F.col(DATE) == k.agg(F.max(DATE)).scalar())
     top, low = C.top_table(k, "composite", tie=ENTITY), C.top_table(k, "composite", ascending=True, tie=ENTITY)
     both = top.withColumn("side", F.lit("top")).unionByName(low.withColumn("side", F.lit("bottom")))
-    return both.select("side", ENTITY, r6("composite").alias("composite"))
+    return both.select("side", ENTITY, "composite")
 
 
 # ---- exposure ----
