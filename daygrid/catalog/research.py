@@ -151,7 +151,7 @@ def table_and_pairs(spark, sf):
     """IC table and pair correlations; z-scores and the small table are written once, both branches read them."""
     z = saved(labelled_z(spark, sf), "z")
     t = saved(train_table(spark, sf, z), "ic-table")
-    return t, W.pair_correlations(z, Z_COLUMNS, t, W.period_dates(days(spark, sf), "Train", 14, P))
+    return t, W.pair_correlations(z, Z_COLUMNS, {s: i for i, _, s in REGISTRY}, W.period_dates(days(spark, sf), "Train", 14, P))
 
 
 @query("W09_signal_pair_correlations", _PAIR_SQL + " SELECT family, left_signal, right_signal, round(corr, 6) AS corr FROM pc")

@@ -81,25 +81,10 @@ def flat_positions(cands: DataFrame, keys: list[str], variant: Column, n: int =
     return rows.where(full).withColumn("weight", weight).drop("_kind", "_both", "_nl", "_ns", "side", "pos", "score")
 
 
-def _sticky_book(rows: pd.DataFrame, n: int, buffer: int) -> Iterator[tuple]:
-    """One run's dates in order: shorts still inside the buffer stay, then the weakest fill up."""
-    held: list = []
-    for day, book in rows.sort_values([DATE, "side", "pos"], ascending=[True, False, True]).groupby(DATE, sort=True):
-        longs = book.loc[book.side == 1, ENTITY].tolist()
-        taken = set(longs)
-        pool = [e for e in book.loc[book.side == -1, ENTITY] if e not in taken]
-        near = set(book.loc[(book.side == -1) & (book.pos <= buffer), ENTITY])
-        shorts = [e for e in held if e in near and e not in taken][:n]
-        shorts += [e for e in pool if e not in shorts][: n - len(shorts)]
-        if len(longs) < n or len(shorts) < n:
-            continue
-        held = shorts
-        yield from ((day, e, 0.5 / n) for e in longs)
-        yield from ((day, e, -0.5 / n) for e in shorts)
-
-
 def sticky_positions(cands: DataFrame, keys: list[str], n: int = SETTINGS.basket_size, buffer: int = SETTINGS.short_rank_buffer) -> DataFrame:
-    """Sticky shorts: each date depends on the last traded one, so a run is walked in order.
+    """Sticky shorts: shorts still inside the buffer stay, then the weakest names fill up.
+
+    Each date depends on the last traded one, so a run is walked in order.
 
     A group holds at most n + max(buffer, 2n) ranked rows per rebalance date,
     whatever the number of names; the candidates were cut before the shuffle.
@@ -110,8 +95,24 @@ def sticky_positions(cands: DataFrame, keys: list[str], n: int = SETTINGS.basket
     schema = ", ".join(f"`{k}` {types[k]}" for k in (*keys, DATE, ENTITY)) + ", weight double"
     wide_enough = cands.withColumn("_n", F.count_if(F.col("side") == 1).over(part)).where(F.col("_n") >= n).drop("_n")
 
+    # local functions travel with the plan, so workers need not have this package
+    def book_of(rows: pd.DataFrame) -> Iterator[tuple]:
+        held: list = []
+        for day, book in rows.sort_values([DATE, "side", "pos"], ascending=[True, False, True]).groupby(DATE, sort=True):
+            longs = book.loc[book.side == 1, ENTITY].tolist()
+            taken = set(longs)
+            pool = [e for e in book.loc[book.side == -1, ENTITY] if e not in taken]
+            near = set(book.loc[(book.side == -1) & (book.pos <= max(buffer, n)), ENTITY])
+            shorts = [e for e in held if e in near and e not in taken][:n]
+            shorts += [e for e in pool if e not in shorts][: n - len(shorts)]
+            if len(longs) < n or len(shorts) < n:
+                continue
+            held = shorts
+            yield from ((day, e, 0.5 / n) for e in longs)
+            yield from ((day, e, -0.5 / n) for e in shorts)
+
     def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_sticky_book(pdf, n, max(buffer, n)), columns=[DATE, ENTITY, "weight"])
+        out = pd.DataFrame(book_of(pdf), columns=[DATE, ENTITY, "weight"])
         for name, value in zip(keys, key):
             out[name] = value
         return out[[*keys, DATE, ENTITY, "weight"]]

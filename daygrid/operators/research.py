@@ -123,58 +123,48 @@ def signal_ics(frame: DataFrame, signals: dict[str, tuple[str, str]], dates: dic
     return X.rank_ic(long, "z", "ret", ["family", "signal", "horizon", DATE], max_names).where(F.col("ic").isNotNull())
 
 
-def ic_table(ics: DataFrame, registry: DataFrame, horizons: tuple[int, ...] = SETTINGS.horizons) -> DataFrame:
+def ic_table(ics: DataFrame, registry: DataFrame, horizons: tuple[int, ...] = SETTINGS.horizons, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean IC per horizon and pooled, sign and first selection, one row per registered signal."""
     per = []
     for h in horizons:
         here = F.when(F.col("horizon") == h, F.col("ic"))
         per += [F.avg(here).alias(f"mean_ic_{h}d"), F.count(here).alias(f"n_ic_{h}d")]
-    agg = ics.groupBy("family", "signal").agg(*per, F.avg("ic").alias("mean_ic_avg"))
-    full = registry.join(agg, ["family", "signal"], "left").fillna(0, [f"n_ic_{h}d" for h in horizons])
+    agg = ics.groupBy(*by, "family", "signal").agg(*per, F.avg("ic").alias("mean_ic_avg"))
+    full = registry.join(agg, [*by, "family", "signal"], "left").fillna(0, [f"n_ic_{h}d" for h in horizons])
     mean = F.col("mean_ic_avg")
     return full.withColumns({
         "sign": F.when(mean < 0, -1).otherwise(1), "selected": mean.isNotNull()})
 
 
-def pair_correlations(frame: DataFrame, signals: dict[str, tuple[str, str]], table: DataFrame, dates: DataFrame) -> DataFrame:
-    """Absolute Spearman of signed z between the selected signals of a family, over pairwise complete cells.
+def pair_correlations(frame: DataFrame, signals: dict[str, tuple[str, str]], seq: dict[str, int], dates: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Absolute Spearman of the signals of a family, two by two, over pairwise complete cells.
 
-    Rows are cells, columns the few registered signals; a cell is expanded to
-    the pairs of signals (never of rows), and each pair is ranked by value ranges.
-    `table` has one row per registered signal.
+    A signal's sign does not change the absolute value.  Rows are cells,
+    columns the few registered signals; a cell is expanded to the pairs of
+    signals (never of rows), and each pair is ranked by value ranges.
+    `dates` holds the dates to use (per fold, when `by` names one).
     """
-    chosen = {(r["family"], r["signal"]): (r["seq"], r["sign"]) for r in table.where("selected").select("family", "signal", "seq", "sign").collect()}
-    near = frame.join(F.broadcast(dates.select(DATE)), DATE, "left_semi")
-    entries = [F.struct(F.lit(f).alias("family"), F.lit(chosen[f, s][0]).alias("seq"), F.lit(s).alias("signal"), (F.col(c) * chosen[f, s][1]).alias("z"))
-               for c, (f, s) in signals.items() if (f, s) in chosen]
-    xs = F.filter(F.array(*entries), lambda e: e["z"].isNotNull())
-    families = sorted({f for f, _ in chosen})
-
-    def of(f: str) -> Column:
-        return F.struct(F.lit(f).alias("family"), F.filter("_xs", lambda e: e["family"] == F.lit(f)).alias("xs"))
-
-    groups = F.array(*[of(f) for f in families])
-    per_cell = near.select(xs.alias("_xs")).select(F.inline(groups))
-    pairs = F.flatten(F.transform("xs", lambda a: F.transform(
-        F.filter("xs", lambda b: b["seq"] > a["seq"]), lambda b: F.struct(
-            a["seq"].alias("left_seq"), a["signal"].alias("left_signal"), b["signal"].alias("right_signal"), b["seq"].alias("right_seq"),
-            a["z"].alias("lz"), b["z"].alias("rz")))))
-    long = per_cell.where(F.size("xs") >= 2).select("family", F.inline(pairs))
-    by = ["family", "left_signal", "right_signal", "left_seq", "right_seq"]
-    ranked = ordered.average_ranks(ordered.average_ranks(long, by, "lz", "lr", "ln"), by, "rz", "rr", "rn")
-    return ranked.groupBy(*by).agg(
-        F.abs(corr_of("lr", "rr")).alias("corr"))
-
-
-def dedupe_signals(table: DataFrame, correlations: DataFrame, limit: float = SETTINGS.dedupe_corr) -> DataFrame:
+    near = frame.join(F.broadcast(dates.select(*by, DATE)), DATE)
+    names = list(signals.items())
+    pairs = [F.struct(F.lit(f).alias("family"), F.lit(s).alias("left_signal"), F.lit(t).alias("right_signal"), F.lit(seq[s]).alias("left_seq"), F.lit(seq[t]).alias("right_seq"),
+                      F.col(c).alias("lz"), F.col(d).alias("rz"))
+             for c, (f, s) in names for d, (g, t) in names if f == g and seq[s] < seq[t]]
+    long = near.select(*by, F.inline(F.filter(F.array(*pairs), lambda p: p["lz"].isNotNull() & p["rz"].isNotNull())))
+    keys = [*by, "family", "left_signal", "right_signal", "left_seq", "right_seq"]
+    ranked = ordered.average_ranks(ordered.average_ranks(long, keys, "lz", "lr", "ln"), keys, "rz", "rr", "rn")
+    return ranked.groupBy(*keys).agg(F.abs(corr_of("lr", "rr")).alias("corr"))
+
+
+def dedupe_signals(table: DataFrame, correlations: DataFrame, limit: float = SETTINGS.dedupe_corr, by: tuple[str, ...] = ()) -> DataFrame:
     """Greedy pass in registry order: of a pair at or above the limit the weaker IC is dropped.
 
     Each drop depends on the earlier ones, so the pass runs over one array per
-    family; a family has as many rows as registered signals (at most 19).
+    family (and fold); a family has at most as many rows as registered signals.
     """
+    keys = [*by, "family"]
     ic = F.map_from_entries(F.collect_list(F.struct("signal", F.abs("mean_ic_avg"))))
-    ics = table.where("selected").groupBy("family").agg(ic.alias("ics"))
-    close = correlations.where(F.col("corr") >= limit).groupBy("family").agg(
+    ics = table.where("selected").groupBy(*keys).agg(ic.alias("ics"))
+    close = correlations.where(F.col("corr") >= limit).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("left_seq", "right_seq", "left_signal", "right_signal"))).alias("pairs"))
     empty = F.array().cast("array<struct<loser:string,winner:string>>")
 
@@ -185,9 +175,9 @@ def dedupe_signals(table: DataFrame, correlations: DataFrame, limit: float = SET
                            F.when(left_wins, pair["left_signal"]).otherwise(pair["right_signal"]).alias("winner"))
         return F.when(gone, dropped).otherwise(F.concat(dropped, F.array(verdict)))
 
-    losers = close.join(ics, "family").select(
-        "family", F.inline(F.aggregate("pairs", empty, lambda acc, p: step(acc, p, F.col("ics")))))
-    marked = table.join(F.broadcast(losers.withColumnRenamed("loser", "signal")), ["family", "signal"], "left")
+    losers = close.join(ics, keys).select(
+        *keys, F.inline(F.aggregate("pairs", empty, lambda acc, p: step(acc, p, F.col("ics")))))
+    marked = table.join(F.broadcast(losers.withColumnRenamed("loser", "signal")), [*keys, "signal"], "left")
     reason = F.concat(F.lit(f"train corr >= {limit:.2f} with "), F.col("winner"))
     return marked.withColumns({
         "selected": F.col("selected") & F.col("winner").isNull(), "dedupe_reason": F.coalesce(reason, F.lit(""))}).drop("winner")
