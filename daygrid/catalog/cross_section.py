@@ -9,6 +9,7 @@ from daygrid.functions.rolling import DATE, ENTITY, by_entity, chg, pct_chg, rat
 from daygrid.operators import cross_section as X
 from daygrid.operators import research as W
 from daygrid.sources import tables as T
+from daygrid.sources.store import saved
 
 
 def names(spark, sf) -> int:
@@ -40,7 +41,7 @@ def _(spark, sf):
 @query("X01_winsorise_split_groups", _WINSOR + """ SELECT entity, date, round(CASE WHEN revenue IS NOT NULL THEN least(greatest(revenue, lo), hi) END, 3) AS revenue
   FROM panel JOIN q USING (date)""")
 def _(spark, sf):
-    p = T.supplier_panel(spark, sf).select(ENTITY, DATE, "revenue")
+    p = saved(T.supplier_panel(spark, sf).select(ENTITY, DATE, "revenue"), "panel")
     return X.winsorise(p, "revenue", [DATE], "w").select(ENTITY, DATE, r6("w", 3).alias("revenue"))
 
 
@@ -52,7 +53,7 @@ def _(spark, sf):
 
 @query("X02_rank_z_split_groups", BRAND + f" SELECT entity, date, round({rank_z_sql('issuance', 'date')}, 6) AS z FROM panel")
 def _(spark, sf):
-    p = T.brand_panel(spark, sf).select(ENTITY, DATE, "issuance")
+    p = saved(T.brand_panel(spark, sf).select(ENTITY, DATE, "issuance"), "panel")
     return X.rank_z(p, "issuance", [DATE], "z").select(ENTITY, DATE, r6("z").alias("z"))
 
 
@@ -93,7 +94,8 @@ def _(spark, sf):
 
 @query("X04_rank_ic_split_groups", LABELS + f" SELECT date, round(ic, 6) AS ic, n_pairs FROM ({ic_sql('lab', 'issuance', 'ret_14')})")
 def _(spark, sf):
-    return X.rank_ic(W.label_returns(T.brand_panel(spark, sf)), "issuance", "ret_14", [DATE]).withColumn("ic", r6("ic"))
+    lab = saved(W.label_returns(T.brand_panel(spark, sf)).select(DATE, "issuance", "ret_14"), "labels")
+    return X.rank_ic(lab, "issuance", "ret_14", [DATE]).withColumn("ic", r6("ic"))
 
 
 @query("X05_rolling_rank_ic", LABELS + f""", i AS ({ic_sql('lab', 'revenue', 'ret_7')})
@@ -120,7 +122,8 @@ _SPEARMAN = BRAND + """, c AS (SELECT revenue, fees, addresses, issuance FROM pa
 
 
 def _pairs(spark, sf):
-    return X.pairwise_spearman(T.brand_panel(spark, sf), ["revenue", "fees", "addresses", "issuance"], [ENTITY, DATE])
+    p = saved(T.brand_panel(spark, sf).select(ENTITY, DATE, "revenue", "fees", "addresses", "issuance"), "panel")
+    return X.pairwise_spearman(p, ["revenue", "fees", "addresses", "issuance"], [ENTITY, DATE])
 
 
 @query("X07_pairwise_spearman", _SPEARMAN + " SELECT left_signal, right_signal, round(corr, 6) AS corr FROM p")

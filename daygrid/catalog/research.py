@@ -296,7 +296,19 @@ for _v in FLAT:
     query(f"B01_positions_{_v}", STUDY_SQL + positions_sql(_v) + " SELECT entity, date, weight, round(ret, 6) + 0.0::DOUBLE AS ret, regime FROM pos")(_pos_query(_v))
 
 
-@query("B02_sticky_shorts")
+# One date after the other: held shorts still in the buffer, then the weakest names.
+_STICKY = STUDY_SQL.replace("WITH daily AS", "WITH RECURSIVE daily AS", 1) + f""", elg AS (SELECT * FROM study WHERE eligible AND score IS NOT NULL AND ret IS NOT NULL AND date IN ({TEST14})),
+  lo AS (SELECT date, list(entity ORDER BY score DESC, entity)[1:5] AS longs FROM elg GROUP BY 1), po AS (SELECT date, list(entity ORDER BY score, entity) AS pool FROM elg WHERE shortable GROUP BY 1),
+  sd AS (SELECT row_number() OVER (ORDER BY date) AS i, date, longs, coalesce(pool, []) AS pool FROM lo LEFT JOIN po USING (date)),
+  rec AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS held, NULL::VARCHAR[] AS s UNION ALL
+    SELECT i, CASE WHEN len(s) = 5 AND len(longs) = 5 THEN s ELSE held END, CASE WHEN len(s) = 5 AND len(longs) = 5 THEN s END FROM (SELECT i, held, longs, list_concat(k, [x for x in pool if NOT list_contains(k, x) AND NOT list_contains(longs, x)])[1:5] AS s
+      FROM (SELECT sd.*, held, [x for x in held if list_contains(pool[1:10], x) AND NOT list_contains(longs, x)][1:5] AS k FROM rec JOIN sd ON sd.i = rec.i + 1))),
+  bk AS (SELECT date, longs, s FROM rec JOIN sd USING (i) WHERE s IS NOT NULL),
+  bw AS (SELECT date, unnest(longs) AS entity, 0.1::DOUBLE AS weight FROM bk UNION ALL SELECT date, unnest(s), -0.1::DOUBLE FROM bk)
+  SELECT entity, date, weight, round(ret, 6) + 0.0::DOUBLE AS ret FROM bw JOIN elg USING (entity, date)"""
+
+
+@query("B02_sticky_shorts", _STICKY)
 def _(spark, sf):
     out = B.sticky_positions(study_candidates(spark, sf), ["model"])
     return out.select(ENTITY, DATE, "weight", r6("ret").alias("ret"))

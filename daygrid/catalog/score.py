@@ -16,6 +16,7 @@ from daygrid.operators import score as C
 from daygrid.plans import scoring as R
 from daygrid.plans import signals as S
 from daygrid.sources import tables as T
+from daygrid.sources.store import saved
 
 DEMO = ("revenue_growth", "rev_per_address", "dau_growth", "vol_adj_momentum", "short_term_reversal", "realised_vol", "dex_volume_growth", "oi_change")
 _FAM = {s: f for f, s, _ in S.SIGNALS}
@@ -171,7 +172,8 @@ _RANKED = COMP_SQL + """ SELECT entity, date, composite, row_number() OVER (PART
 
 def _select(spark, sf, bound):
     ok = T.brands(spark, sf).where(F.col(ENTITY) != "Brand#3")
-    out = C.rank_and_select(composite(spark, sf), "composite", max_names=bound, eligible=ok)
+    rows = composite(spark, sf) if bound is not None else saved(composite(spark, sf), "composite")
+    out = C.rank_and_select(rows, "composite", max_names=bound, eligible=ok)
     return out.select(ENTITY, DATE, "composite", "rank", "selected")
 
 

@@ -16,6 +16,7 @@ from daygrid.config import FAMILIES, PRESET_WEIGHTS, SETTINGS
 from daygrid.functions.rolling import DATE, ENTITY, corr_of
 from daygrid.operators import cross_section as X
 from daygrid.operators.score import renormalised, settle
+from daygrid.sources.store import beside
 
 LONG_SHORT = ("always_l_s", "sticky_l_s", "regime_aware_l_s")
 DIRECTIONAL = ("long_only", "short_only", "regime_switch")
@@ -238,9 +239,9 @@ def preset_weights(spark) -> DataFrame:
 
 def shrink_weights(base: DataFrame, target: DataFrame, shares: tuple[float, ...] = (0.5, 0.75), families: tuple[str, ...] = FAMILIES) -> DataFrame:
     """(1 - s) x base + s x target for every base and target scheme; both tables hold a few schemes."""
-    b = base.select(F.col("model").alias("base"), *[F.col(f"weight_{f}").alias(f"b_{f}") for f in families], F.lit(1).alias("_k"))
-    t = target.select(F.col("model").alias("target"), *[F.col(f"weight_{f}").alias(f"t_{f}") for f in families], F.lit(1).alias("_k"))
-    both = b.join(F.broadcast(t), "_k").where("base <> target").withColumn("s", F.explode(F.array(*[F.lit(s) for s in shares])))
+    b = base.select(F.col("model").alias("base"), *[F.col(f"weight_{f}").alias(f"b_{f}") for f in families])
+    t = target.select(F.col("model").alias("target"), *[F.col(f"weight_{f}").alias(f"t_{f}") for f in families])
+    both = beside(b, t).where("base <> target").withColumn("s", F.explode(F.array(*[F.lit(s) for s in shares])))
     mixed = [((1 - F.col("s")) * F.col(f"b_{f}") + F.col("s") * F.col(f"t_{f}")).alias(f"weight_{f}") for f in families]
     return both.select("base", "target", F.col("s").alias("shrink"), *mixed)
 

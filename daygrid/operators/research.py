@@ -11,6 +11,7 @@ from daygrid.config import SETTINGS, Periods
 from daygrid.functions.rolling import DATE, ENTITY, by_entity, corr_of, ratio
 from daygrid.operators import cross_section as X
 from daygrid.operators import ordered
+from daygrid.sources.store import beside
 
 
 def label_returns(panel: DataFrame, price: str = "price", prefix: str = "ret_", keep_legs: bool = False,
@@ -86,7 +87,7 @@ def walk_forward_folds(days: DataFrame, p: Periods, horizon: int = SETTINGS.prim
     folds = folds.withColumn("validation_end", F.least("validation_end", last))
     in_train = (F.col(DATE) >= F.col("train_start")) & (F.col(DATE) <= F.col("train_end"))
     in_val = (F.col(DATE) >= F.col("validation_start")) & (F.col(DATE) <= F.col("validation_end"))
-    counted = days.join(F.broadcast(folds), in_train | in_val).groupBy(*folds.columns).agg(
+    counted = beside(days.select(DATE), folds).where(in_train | in_val).groupBy(*folds.columns).agg(
         F.count_if(in_train).alias("train_days"), F.count_if(in_val).alias("validation_days"))
     counted = counted.where((F.col("train_days") > 0) & (F.col("validation_days") > 0))
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq"))

@@ -14,7 +14,7 @@ from daygrid.functions.rolling import DATE, ENTITY
 from daygrid.operators import portfolio as B
 from daygrid.operators import research as W
 from daygrid.operators import score as C
-from daygrid.sources.store import saved
+from daygrid.sources.store import beside, saved
 
 FLAGS = ("eligible_base", "eligible_sensitivity")
 VARIANTS = ("always_l_s", "sticky_l_s")
@@ -94,16 +94,15 @@ def rolling_diagnostics(frame: DataFrame, signals: dict[str, tuple[str, str]], r
     spark = frame.sparkSession
     h0 = SETTINGS.primary_horizon
     folds = saved(W.walk_forward_folds(days, p), "folds")
-    few = F.broadcast(folds)
     bound = lambda h: (F.col(DATE) >= F.col("train_start")) & (F.col(DATE) <= F.date_sub("validation_start", h + 1))
     # every IC once, up to the last fold's train end; folds only choose dates
     top = folds.agg(F.max("validation_start")).scalar()
     span = days.where((F.col(DATE) >= F.lit(p.train_start)) & (F.col(DATE) < top))
     ics = saved(W.signal_ics(frame, signals, {h: span for h in SETTINGS.horizons}, max_names), "ics")
-    by_fold = ics.join(few, (F.col(DATE) >= F.col("train_start")) & (F.datediff("validation_start", DATE) >= F.col("horizon") + 1))
-    reg = registry.withColumn("_k", F.lit(1)).join(folds.select("fold", F.lit(1).alias("_k")), "_k").drop("_k")
+    by_fold = beside(ics, folds).where((F.col(DATE) >= F.col("train_start")) & (F.datediff("validation_start", DATE) >= F.col("horizon") + 1))
+    reg = beside(registry, folds.select("fold"))
     table = saved(W.ic_table(by_fold, reg, by=("fold",)), "ic-table")
-    train = saved(days.join(few, bound(h0)).select("fold", DATE), "train-dates")
+    train = saved(beside(days, folds).where(bound(h0)).select("fold", DATE), "train-dates")
     seq = {r["signal"]: r["seq"] for r in registry.collect()}
     pairs = W.pair_correlations(frame, signals, seq, train, ("fold",))
     decisions = saved(W.dedupe_signals(table, pairs, by=("fold",)), "decisions")
@@ -113,11 +112,11 @@ def rolling_diagnostics(frame: DataFrame, signals: dict[str, tuple[str, str]], r
     search_dates = W.every_kth(train, SETTINGS.search_every, ("fold",))
     grid = B.grid_ic(scores, labels, B.weight_grid(spark), search_dates, max_names, "ret", ("fold",))
     weights = saved(weight_table(spark, B.best_by_ic(grid, ("fold",)), ("fold",)), "fold-weights")
-    val = days.join(few, F.col(DATE).between(F.col("validation_start"), F.col("validation_end"))).select("fold", DATE)
+    val = beside(days, folds).where(F.col(DATE).between(F.col("validation_start"), F.col("validation_end"))).select("fold", DATE)
     chosen = W.every_kth(val, h0, ("fold",))
     near = scores.join(F.broadcast(chosen), ["fold", DATE]).join(labels, [ENTITY, DATE])
     out = evaluate(runs(near, weights, ("fold",)), ["fold", "model"], h0, max_names)
-    return out.withColumn("horizon", F.lit(h0)).join(folds.drop("train_days", "validation_days"), "fold")
+    return out.withColumn("horizon", F.lit(h0)).join(F.broadcast(folds.drop("train_days", "validation_days")), "fold")
 
 
 def walk_forward(frame: DataFrame, scores: DataFrame, signals: dict[str, tuple[str, str]], registry: DataFrame, days: DataFrame, p: Periods, max_names: int | None) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,3 +34,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def beside(df: DataFrame, small: DataFrame) -> DataFrame:
+    """Every row with every row of a table whose size is fixed by configuration (folds, weights).
+
+    The small table travels as one array value and is exploded in place, so
+    there is no product of two tables in the plan.
+    """
+    rows = small.agg(F.collect_list(F.struct(*small.columns))).scalar()
+    return df.withColumn("_beside", F.explode(rows)).select(*df.columns, "_beside.*")
