@@ -19,7 +19,7 @@ from daygrid.config import SETTINGS
 def cumulative_counts(df: DataFrame, by: list[str], value: str, ranges: int = SETTINGS.value_ranges) -> DataFrame:
     """Distinct (by, value) with `ties`, `upto` (rows <= value) and group size `n`."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
-    cuts = [i / ranges for i in range(1, ranges)]
+    cuts = [i / ranges for i in range(1, ranges)] or [0.5]
     edges = counts.groupBy(*by).agg(
         F.percentile_approx(value, cuts, 1000).alias("edges"), F.sum("ties").alias("n")
     )
