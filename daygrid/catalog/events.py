@@ -13,7 +13,7 @@ from daygrid.functions.text import suffix_number, visible_text
 from daygrid.operators import events as V
 from daygrid.operators import panel as P
 from daygrid.sources import tables as T
-from daygrid.sources.store import saved
+from daygrid.sources.store import saved, spread
 
 _VIS = "html"
 for _p, _to in (("(?is)<script.*?</script>", " "), ("(?is)<style.*?</style>", " "), ("(?is)<noscript.*?</noscript>", " "), ("(?is)<br\\s*/?>", " "), ("(?is)</(p|div|section|article|li|tr|h[1-6])>", " "), ("(?is)<[^>]+>", " ")):
@@ -24,7 +24,7 @@ for _a, _b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "
 
 @query("V01_html_to_text", f"SELECT page_id, trim(regexp_replace({_VIS}, '\\s+', ' ', 'g')) AS text FROM pages")
 def _(spark, sf):
-    return T.table(spark, sf, "pages").select("page_id", visible_text("html").alias("text"))
+    return spread(T.table(spark, sf, "pages").select("page_id", "html")).select("page_id", visible_text("html").alias("text"))
 
 
 # Every document ends in two or three unlock cards; a filler longer than the look-back separates them from the prose.
@@ -32,7 +32,7 @@ _FILL = "x" * 200
 
 
 def unlock_pages(spark, sf):
-    d, k = T.table(spark, sf, "documents"), F.col("doc_id")
+    d, k = spread(T.table(spark, sf, "documents").select("doc_id", "text")), F.col("doc_id")
     s = lambda c: c.cast("string")
     card = F.concat(F.lit(" Unlock Value $"), s(k % 90 + 1), F.lit("."), s(k % 10), F.when(k % 3 == 0, "m").when(k % 3 == 1, "k").otherwise(""), F.lit("  421,"), F.lpad(s(k % 1000), 3, "0"), F.lit(" ABC 0.0"), s(k % 9 + 1),
                     F.lit("% (0.5% of float) Mar "), s(k % 28 + 1), F.lit(",  2025 10:00 PM "), F.when(k % 4 == 0, "Core Contributors").when(k % 4 == 1, "seed investors").when(k % 4 == 2, "Zeta Fund").otherwise("foundation"), F.lit(" $5 "))

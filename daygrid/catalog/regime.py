@@ -157,6 +157,11 @@ def _(spark, sf):
     return I.indicator_rows(features(spark, sf), keys).where("choppy = 100").select(WEEK, label[F.col("indicator")].alias("key"), "score", "choppy")
 
 
+def indicators(spark, sf):
+    """Every indicator of every week, written once: families, override and weeks all read it."""
+    return saved(I.indicator_rows(saved(features(spark, sf), "features")), "indicators")
+
+
 ALL_ROWS = ", ir AS (" + " UNION ALL ".join(rule_sql(n) for n in SQL_RULES) + ")"
 FAM_SQL = FEATURES + ALL_ROWS + """, fa AS (SELECT week, family, count(*) FILTER (score = 2) AS indicators_met, count(*) AS indicators_total, round_even(sum(score) * 100.0::DOUBLE / (2 * count(*)), 1) AS family_score,
   sum(score) * 100.0::DOUBLE / (2 * count(*)) AS fs, """ + ", ".join(f"avg({v}) AS a_{v}, round_even(avg({v}), 1) AS {v}" for v in I.VOTES) + " FROM ir GROUP BY 1, 2)"
@@ -167,7 +172,7 @@ _WT = "CASE family " + " ".join(f"WHEN '{f}' THEN {w}" for f, w in I.FAMILY_WEIG
   family || ' is ' || CASE WHEN fs >= 75 THEN 'strongly supportive' WHEN fs >= 50 THEN 'moderately supportive' WHEN fs >= 25 THEN 'mixed' ELSE 'weak' END || ' (' || indicators_met || '/' || indicators_total || ' met); primary lean is ' ||
   CASE WHEN a_risk_on >= a_choppy AND a_risk_on >= a_risk_off THEN 'risk-on' WHEN a_choppy >= a_risk_off THEN 'choppy' ELSE 'risk-off' END || '.' AS read FROM fa""")
 def _(spark, sf):
-    return I.family_scores(I.indicator_rows(features(spark, sf)))
+    return I.family_scores(indicators(spark, sf))
 
 
 _CLS = FAM_SQL + ", pw AS (SELECT week, " + ", ".join(f"round(sum({v} * {_WT} / 100.0::DOUBLE), 9) AS {v}" for v in I.VOTES) + """ FROM fa GROUP BY 1),
@@ -178,10 +183,10 @@ _SC = ", ".join(f"{v}_score" for v in I.VOTES)
 
 @query("I28_classifier", _CLS + f" SELECT week, regime, {_SC} FROM cl")
 def _(spark, sf):
-    return I.classify(I.indicator_rows(features(spark, sf)))
+    return I.classify(indicators(spark, sf))
 
 
 @query("I29_weekly_history", _CLS + f" SELECT week, close AS btc_close, regime, {_SC}, coalesce(lead(week) OVER (ORDER BY week), week + 7) AS end_date FROM cl JOIN (SELECT week, close, n_weeks FROM wf) USING (week) WHERE n_weeks >= 21")
 def _(spark, sf):
     f = saved(features(spark, sf), "features")
-    return I.weekly_history(I.classify(I.indicator_rows(f)), f)
+    return I.weekly_history(I.classify(saved(I.indicator_rows(f), "indicators")), f)

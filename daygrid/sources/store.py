@@ -44,3 +44,13 @@ def beside(df: DataFrame, small: DataFrame) -> DataFrame:
     """
     rows = small.agg(F.collect_list(F.struct(*small.columns))).scalar()
     return df.withColumn("_beside", F.explode(rows)).select(*df.columns, "_beside.*")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan alone would use fewer, for CPU-heavy text work.
+
+    A scan that already has as many partitions as cores is left alone: no
+    large text table is ever shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
