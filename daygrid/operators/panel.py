@@ -44,8 +44,8 @@ def densify(daily: DataFrame, entities: DataFrame, bounds: DataFrame, metrics: l
     grid grows inside the entity partitions: one shuffle on entity, no product
     of entities and days, and later entity windows reuse the partitioning.
     """
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select("hi").scalar()
+    ends = bounds.select(F.struct("lo", "hi").alias("b")).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     # seeds carry no metric; the day they share with a real row is dropped again
     seeded = (
         daily.select(ENTITY, DATE, *metrics, F.lit(False).alias("_seed"))

@@ -237,12 +237,9 @@ def screener_candidates(rows: DataFrame, max_candidates: int = SETTINGS.max_cand
     n = single.count()
     if 0 < max_candidates < n:
         chains = single.where("is_chain").orderBy(*order).limit(chain_quota)
-        taken = chains.agg(F.count("*")).scalar()
-        # quota as one ordered limit: non-chains beyond the room the chains leave are dropped by rank
-        others = single.where("not is_chain").orderBy(*order).limit(max_candidates)
-        w = Window.partitionBy(F.lit(0)).orderBy(*order)
-        others = others.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(max_candidates) - taken).drop("_rn")
-        single = chains.unionByName(others)
+        # the quota's own size (at most `chain_quota`) decides the room left for the others
+        room = max_candidates - chains.count()
+        single = chains.unionByName(single.where("not is_chain").orderBy(*order).limit(max(room, 0)))
     return single.drop("_m", "_t", "_v")
 
 
@@ -255,10 +252,8 @@ def directory_candidates(rows: DataFrame, known_chains: DataFrame, max_candidate
     w = Window.partitionBy("ticker").orderBy(F.desc("known_chain"), F.coalesce("mcap", F.lit(0.0)).desc(), ENTITY)
     one = ok.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     chains = one.where("known_chain")
-    room = F.greatest(F.lit(max_candidates) - chains.agg(F.count("*")).scalar(), F.lit(0))
-    order = [F.coalesce("mcap", F.lit(0.0)).desc(), F.col("ticker")]
-    others = one.where("not known_chain").orderBy(*order).limit(max_candidates)
-    others = others.withColumn("_rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("_rn") <= room).drop("_rn")
+    room = max(max_candidates - chains.count(), 0)
+    others = one.where("not known_chain").orderBy(F.coalesce("mcap", F.lit(0.0)).desc(), "ticker").limit(room)
     return chains.unionByName(others)
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -90,10 +91,13 @@ def test_signals_against_pandas_and_without_lookahead(spark):
 
 
 def test_signal_plan_has_one_entity_exchange_and_no_product(spark):
-    p = T.brand_panel(spark, "/root/testdata/sf0.001")
-    plan = S.signal_frame(p, ["revenue_growth", "vol_adj_momentum", "dex_volume_growth"], 25)._jdf.queryExecution().executedPlan().toString()
+    sf = "/root/testdata/sf0.001"
+    daily, limits = T.brand_daily(spark, sf), T.bounds(spark, sf)
+    ents = spark.createDataFrame([(f"Brand#{i}",) for i in range(1, 26)], "entity string")
+    panel = P.align(daily, ents, limits, ["price", "revenue", "dex_volume"])
+    plan = S.signal_frame(panel, ["revenue_growth", "vol_adj_momentum", "dex_volume_growth"], 25)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert sum("hashpartitioning(entity" in line and "date" not in line.split("hashpartitioning")[1] for line in plan.splitlines()) == 1
+    assert len(re.findall(r"hashpartitioning\(entity#\d+, \d+\)", plan)) == 1
 
 
 def test_written_panel_prunes_months_and_versions(spark, tmp_path):
