@@ -112,7 +112,7 @@ def sticky_positions(cands: DataFrame, keys: list[str], n: int = SETTINGS.basket
             yield from ((day, e, 0.5 / n) for e in longs)
             yield from ((day, e, -0.5 / n) for e in shorts)
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(book_of(pdf), columns=[DATE, ENTITY, "weight"])
         for name, value in zip(keys, key):
             out[name] = value
