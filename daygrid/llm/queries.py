@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrid.llm import bpe, packing, quality
+from daygrid.llm import bpe, fingerprints, language, lm, packing, quality, sharding
 from daygrid.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,11 +30,42 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Production parameters of the sharding query: 64 output shards in a table of about a thousand slots each.
+SHARDS, SLOTS = [f"shard-{i:03d}" for i in range(64)], 65_537
+
+
+def _sharding_sql() -> str:
+    owners = ", ".join(map(str, sharding.lookup_table(SHARDS, SLOTS)))
+    return f"""WITH placed AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SLOTS} AS INT) AS slot FROM documents),
+    owners AS (SELECT [{owners}] AS list)
+    SELECT doc_id, slot, CAST(list[slot + 1] AS INT) AS shard FROM placed, owners"""
+
+
+@query("op2_sharding", _sharding_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(documents(spark, sf_dir).select("doc_id"), ["doc_id"], SHARDS, SLOTS)
+
+
 @query("op3_bpe_encode_decode")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.log_likelihood(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(documents(spark, sf_dir))
+
+
+@query("op9_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
