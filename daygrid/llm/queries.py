@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrid.llm import bpe, fingerprints, language, lm, packing, quality, sharding
+from daygrid.llm import bpe, fingerprints, language, lm, packing, quality, sharding, substrings
 from daygrid.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.log_likelihood(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: Words of every text; row_number() keeps the first of equal windows.
+_REPEATS_SQL = """WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    windows AS (SELECT doc_id, start, array_to_string(list_slice(words, start, start + 19), ' ') AS win
+                FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM docs)),
+    later AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY win ORDER BY doc_id, start) AS n FROM windows) WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS k FROM later),
+    each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM docs),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM each ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op5_substring_dedup", _REPEATS_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir))
+
+
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(documents(spark, sf_dir))
