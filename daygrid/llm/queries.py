@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrid.llm import bpe, fingerprints, language, lm, packing, quality, sharding, substrings
+from daygrid.llm import bpe, fingerprints, jaccard, language, lm, packing, quality, sharding, substrings
 from daygrid.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(documents(spark, sf_dir))
 
 
+_JACCARD_SQL = """WITH RECURSIVE docs AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    sets AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, k, k + 3), ' ') AS gram
+             FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS k FROM docs WHERE len(words) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * shared.n >= 85 * (a.n + b.n - shared.n)),
+    reach AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT reach.doc_id, y FROM reach JOIN links ON other = x)
+    SELECT docs.doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id
+    FROM docs LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
+@query("op8_ngram_jaccard_join", _JACCARD_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(documents(spark, sf_dir))
+
+
 @query("op9_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
