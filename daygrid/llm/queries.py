@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrid.llm import bpe, fingerprints, jaccard, language, lm, packing, quality, sharding, substrings
+from daygrid.llm import bpe, fingerprints, jaccard, language, licences, lm, packing, quality, sharding, substrings
 from daygrid.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(documents(spark, sf_dir))
 
 
+@query("op6_licence_scans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(documents(spark, sf_dir))
+
+
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(documents(spark, sf_dir))
