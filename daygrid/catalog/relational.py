@@ -82,14 +82,20 @@ def _(s, d):
     return files.read_json(s, path, "event_id bigint, props struct<k:bigint>").select("event_id", "props.k")
 
 
-@simple("D07_json_write", """SELECT o_orderstatus, '{"n":' || count(*) || '}' AS doc FROM orders GROUP BY 1""")
+@simple("D07_json_write", """SELECT o_orderstatus, count(*) AS n, sum(round(o_totalprice)) AS total FROM orders GROUP BY 1""")
 def _(s, d):
-    return orders(s, d).groupBy("o_orderstatus").agg(F.to_json(F.struct(F.count("*").alias("n"))).alias("doc"))
+    path = scratch(s, "json")
+    files.write_json(orders(s, d).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(F.round("o_totalprice")).alias("total")), path)
+    return files.read_json(s, path, "o_orderstatus string, n bigint, total double")
 
 
 @simple("D08_page_scan", "SELECT page_id, length(html) AS n FROM pages")
 def _(s, d):
-    return T.table(s, d, "pages").select("page_id", F.length("html").cast("bigint").alias("n"))
+    """Pages are landed as one text file each, as a crawler leaves them, and read back as whole files."""
+    path = scratch(s, "pages")
+    T.table(s, d, "pages").select("page_id", "html").repartition("page_id").sortWithinPartitions("page_id").write.option("lineSep", "\x00").partitionBy("page_id").text(path)
+    text = F.regexp_replace("text", "\x00$", "")
+    return files.read_texts(s, path).select(F.regexp_extract("path", "page_id=(\\d+)", 1).cast("bigint").alias("page_id"), F.length(text).cast("bigint").alias("n"))
 
 
 @simple("D09_column_projection", "SELECT s_suppkey, s_acctbal FROM supplier")

@@ -263,15 +263,24 @@ def _(spark, sf):
     return E.attach_audit(left.select("entity"), audits)
 
 
-_CAT = """SELECT s_suppkey AS entity, list_sort(list_distinct([CASE WHEN s_suppkey % 2 = 0 THEN 'rev-usd' ELSE 'other-a' END, CASE WHEN s_suppkey % 3 = 0 THEN 'dex-fees-usd' ELSE 'other-b' END, 'other-b'])) AS identifiers FROM supplier"""
+# Every vendor metric id of every family, and two that belong to none.
+_IDS = ("token-price-usd", "token-market-cap-usd", "market-cap-usd", "token-fdv-usd", "fdv-usd", "rev-usd", "revenue-total-usd", "app-revenue-total-usd", "dex-revenue-usd", "lending-revenue-total-usd",
+        "transaction-fee-total-usd", "dex-fees-usd", "fees-total-usd", "app-fees-total-usd", "mev-tips-fees-usd", "lending-deposit-total-usd", "lending-tvl-total-usd", "tvl-total-usd", "other-a", "other-b")
+_ID_LIST = "[" + ", ".join(f"'{i}'" for i in _IDS) + "]"
+_CAT = f"""SELECT s_suppkey AS entity, list_sort(list_distinct([ids[s_suppkey % 20 + 1], ids[s_suppkey * 7 % 20 + 1], ids[s_suppkey * 13 % 20 + 1], 'other-b'])) AS identifiers FROM supplier, (SELECT {_ID_LIST} AS ids)"""
+_FLAGS = """list_has_any(identifiers, ['token-price-usd']) AS has_price, list_has_any(identifiers, ['token-market-cap-usd', 'market-cap-usd']) AS has_market_cap,
+    list_has_any(identifiers, ['token-fdv-usd', 'fdv-usd']) AS has_fdv,
+    list_has_any(identifiers, ['rev-usd', 'revenue-total-usd', 'app-revenue-total-usd', 'dex-revenue-usd', 'lending-revenue-total-usd']) AS has_revenue,
+    list_has_any(identifiers, ['transaction-fee-total-usd', 'dex-fees-usd', 'fees-total-usd', 'app-fees-total-usd', 'mev-tips-fees-usd']) AS has_fees,
+    list_has_any(identifiers, ['lending-deposit-total-usd']) AS has_lending_deposits, list_has_any(identifiers, ['lending-tvl-total-usd', 'tvl-total-usd']) AS has_blockworks_tvl"""
 
 
 def catalogue(spark, sf):
-    k = F.col("s_suppkey")
-    return T.table(spark, sf, "supplier").select(k.alias("entity"), F.array(F.when(k % 2 == 0, "rev-usd").otherwise("other-a"), F.when(k % 3 == 0, "dex-fees-usd").otherwise("other-b"), F.lit("other-b"), F.lit("")).alias("identifiers"))
+    k, ids = F.col("s_suppkey"), F.array(*[F.lit(i) for i in _IDS])
+    return T.table(spark, sf, "supplier").select(k.alias("entity"), F.array(*[F.element_at(ids, (k * m % 20 + 1).cast("int")) for m in (1, 7, 13)], F.lit("other-b"), F.lit("")).alias("identifiers"))
 
 
-@query("E18_metric_coverage", f"SELECT entity, entity % 2 = 0 AS has_revenue, entity % 3 = 0 AS has_fees, CAST(len(identifiers) AS INT) AS metric_count, array_to_string(identifiers, ',') AS identifiers FROM ({_CAT})")
+@query("E18_metric_coverage", f"SELECT entity, {_FLAGS}, CAST(len(identifiers) AS INT) AS metric_count, array_to_string(identifiers, ',') AS identifiers FROM ({_CAT})")
 def _(spark, sf):
     return E.metric_coverage(catalogue(spark, sf)).withColumn("identifiers", F.array_join("identifiers", ","))
 
@@ -286,19 +295,20 @@ def _(spark, sf):
     return E.coverage_flags(m, snap, {"has_price": "price", "has_revenue": "issuance", "has_tvl": "dex_volume"}).select("entity", "has_price", "has_revenue", "has_tvl", "primary_tvl_source")
 
 
-@query("E20_asset_master", _DIR + """, f AS (SELECT slug AS entity, k, CASE WHEN k % 3 = 0 THEN 'S' || k END AS ticker FROM d QUALIFY row_number() OVER (PARTITION BY slug ORDER BY k) = 1),
-  c AS (SELECT 'sup-' || s_suppkey AS entity, s_suppkey % 2 = 0 AS r, s_suppkey % 3 = 0 AS e FROM supplier WHERE s_suppkey < 60)
-  SELECT f.entity, ticker, coalesce(r, FALSE) AS has_revenue, coalesce(e, FALSE) AS has_fees, CASE WHEN k % 4 = 0 THEN 'cg-' || f.entity END AS coingecko_id, coalesce(k % 5 = 0, FALSE) AS has_defillama_tvl, FALSE AS has_blockworks_tvl,
-    'blockworks_only' AS match_method, 1.0::DOUBLE AS match_confidence, CASE WHEN k % 5 = 0 THEN 'defillama' END AS primary_tvl_source FROM f LEFT JOIN c USING (entity)""")
+@query("E20_asset_master", _DIR + f""", f AS (SELECT slug AS entity, k, CASE WHEN k % 3 = 0 THEN 'S' || k END AS ticker FROM d QUALIFY row_number() OVER (PARTITION BY slug ORDER BY k) = 1),
+  c AS (SELECT 'sup-' || entity AS entity, {_FLAGS} FROM ({_CAT}))
+  SELECT f.entity, ticker, k % 2 = 0 OR coalesce(has_price, FALSE) AS has_price, k % 3 <> 0 OR coalesce(has_market_cap, FALSE) AS has_market_cap, coalesce(has_fdv, FALSE) AS has_fdv, coalesce(has_revenue, FALSE) AS has_revenue, coalesce(has_fees, FALSE) AS has_fees,
+    coalesce(has_lending_deposits, FALSE) AS has_lending_deposits, coalesce(has_blockworks_tvl, FALSE) AS has_blockworks_tvl, CASE WHEN k % 4 = 0 THEN 'cg-' || f.entity END AS coingecko_id, coalesce(k % 5 = 0, FALSE) AS has_defillama_tvl,
+    'blockworks_only' AS match_method, 1.0::DOUBLE AS match_confidence, CASE WHEN k % 5 = 0 THEN 'defillama' WHEN has_blockworks_tvl THEN 'blockworks' END AS primary_tvl_source FROM f LEFT JOIN c USING (entity)""")
 def _(spark, sf):
     d = directory(spark, sf)
-    cov = E.metric_coverage(catalogue(spark, sf).where("entity < 60")).withColumn("entity", F.concat(F.lit("sup-"), F.col("entity").cast("string")))
+    cov = E.metric_coverage(catalogue(spark, sf)).withColumn("entity", F.concat(F.lit("sup-"), F.col("entity").cast("string")))
     frame = E.directory_frame(d)
     first = d.where("slug IS NOT NULL").groupBy("slug").agg(F.min("id").alias("k")).withColumnRenamed("slug", "entity")
     cg = first.where("k % 4 = 0").select("entity", F.concat(F.lit("cg-"), "entity").alias("coingecko_id"))
     dl = first.where("k % 5 = 0").select("entity", F.lit(True).alias("has_defillama_tvl"))
     out = E.asset_master(frame, cov, [cg, dl])
-    return out.select("entity", "ticker", "has_revenue", "has_fees", "coingecko_id", "has_defillama_tvl", "has_blockworks_tvl", "match_method", "match_confidence", "primary_tvl_source")
+    return out.select("entity", "ticker", *E.METRIC_GROUPS, "coingecko_id", "has_defillama_tvl", "match_method", "match_confidence", "primary_tvl_source")
 
 
 @query("E21_label_normalise", """WITH x AS (SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN ' Rollup ' WHEN 'ECONOMY' THEN 'Perpetuals' WHEN 'STANDARD' THEN 'Decentralized Exchanges' WHEN 'PROMO' THEN 'Restaking' WHEN 'LARGE' THEN 'Oracle' END AS c FROM part),

@@ -109,7 +109,7 @@ def _(spark, sf):
     return quality(spark, sf).withColumn("revenue_fees_corr_90d", r6("revenue_fees_corr_90d"))
 
 
-@query("S04_redundant_fee_mask", _Q + " SELECT entity, date, CASE WHEN NOT revenue_fees_redundant THEN fees END AS fees FROM sp JOIN qf USING (entity)")
+@query("S04_redundant_fee_mask", _Q.replace("sp AS (", "sp AS MATERIALIZED (").replace("qf AS (", "qf AS MATERIALIZED (") + " SELECT entity, date, CASE WHEN NOT revenue_fees_redundant THEN fees END AS fees FROM sp JOIN qf USING (entity)")
 def _(spark, sf):
     return S.mask_redundant_fees(T.brand_panel(spark, sf).select(ENTITY, DATE, "fees"), quality(spark, sf))
 
@@ -164,18 +164,32 @@ def _(spark, sf):
     return S.universe_aggregate(project_ts(spark, sf), ok, ["revenue", "fees", "deposits"])
 
 
-@query("S10_stable_like", f"SELECT entity, lower(category) = 'stablecoins' AS stable FROM ({MASTER})")
+# All stable-like tickers and categories, and some that are not.
+_STABLE_TICKERS = ("BUSD", "CRVUSD", "DAI", "FDUSD", "FRAX", "GHO", "LUSD", "MIM", "PYUSD", "RLUSD", "SUSD", "TUSD", "USDC", "USDC.E", "USDD", "USDE", "USDG", "USDL", "USDP", "USDS", "USDT", "USDT0", "USDY")
+_STABLE_CATEGORIES = ("algo-stables", "dual-token stablecoin", "stablecoin", "stablecoins")
+_SOME_TICKERS, _SOME_CATEGORIES = (*_STABLE_TICKERS, "USD1", "BTC", "usdc", "T1", "ETH", "SOL"), (*(c.title() for c in _STABLE_CATEGORIES), "DEX", "Lending", " stablecoins ")
+
+
+def _sql_list(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query("S10_stable_like", f"""WITH x AS (SELECT p_partkey, t[p_partkey % {len(_SOME_TICKERS) + 4} + 1] AS ticker, c[p_partkey % 41 % {len(_SOME_CATEGORIES) + 9} + 1] AS category FROM part, (SELECT [{_sql_list(_SOME_TICKERS)}] AS t, [{_sql_list(_SOME_CATEGORIES)}] AS c))
+  SELECT p_partkey, ticker, category, coalesce(upper(ticker), '') IN ({_sql_list(_STABLE_TICKERS)}) OR coalesce(lower(trim(category)), '') IN ({_sql_list(_STABLE_CATEGORIES)}) AS stable FROM x""")
 def _(spark, sf):
-    return T.brand_master(spark, sf).select(ENTITY, S.is_stable_like().alias("stable"))
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), n.cast("int"))
+    k = F.col("p_partkey")
+    rows = T.table(spark, sf, "part").select("p_partkey", pick(_SOME_TICKERS, k % (len(_SOME_TICKERS) + 4)).alias("ticker"), pick(_SOME_CATEGORIES, k % 41 % (len(_SOME_CATEGORIES) + 9)).alias("category"))
+    return rows.withColumn("stable", S.is_stable_like())
 
 
-_TOP = TS + """, tp AS (SELECT *, (price / nullif(lag(price, 30) OVER (PARTITION BY entity ORDER BY date), 0) - 1) * 100 AS p30 FROM ts WHERE lower(category) <> 'stablecoins' AND price IS NOT NULL),
-  tl AS (SELECT * FROM tp WHERE p30 IS NOT NULL AND mcap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity ORDER BY date DESC) = 1), t100 AS (SELECT * FROM tl ORDER BY mcap DESC, ticker LIMIT 12)"""
+_TOP = TS + """, tp AS (SELECT *, (price / nullif(b, 0) - 1) * 100 AS p30 FROM (SELECT *, lag(price, 30) OVER (PARTITION BY entity ORDER BY date) AS b FROM ts WHERE lower(category) <> 'stablecoins' AND price IS NOT NULL)),
+  tl AS (SELECT * FROM tp WHERE (p30 IS NOT NULL OR (b = 0 AND price <> 0)) AND mcap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity ORDER BY date DESC) = 1), t100 AS (SELECT * FROM (SELECT * FROM tl ORDER BY mcap DESC, ticker LIMIT 100) WHERE p30 IS NOT NULL)"""
 
 
 @query("S11_top_price_distribution", _TOP + " SELECT ticker, date, round(p30, 6) AS price_30d_pct, mcap FROM t100")
 def _(spark, sf):
-    return S.top_price_changes(project_ts(spark, sf), 12).withColumn("price_30d_pct", r6("price_30d_pct"))
+    return S.top_price_changes(project_ts(spark, sf)).withColumn("price_30d_pct", r6("price_30d_pct"))
 
 
 @query("S12_histogram", """WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), x AS (SELECT l_extendedprice AS v, CASE WHEN l_extendedprice >= hi THEN 24 ELSE least(CAST(floor((l_extendedprice - lo) * 24 / (hi - lo)) AS INT) + 1, 24) END AS bin FROM lineitem, b)

@@ -168,8 +168,7 @@ def current_ytd(facts: DataFrame, today: Column, trailing: int = 90) -> DataFram
     rest = [c for c in facts.columns if c != "ticker"]
     best = F.max_by(F.struct(*rest), F.struct("end", "filed", "duration", "accn", "value"))
     one = latest_facts(ok).groupBy("ticker").agg(best.alias("_f")).select("ticker", "_f.*")
-    # one row per company: the total is a window over that short table
-    total = F.sum("value").over(Window.partitionBy(F.lit(0)))
+    total = one.agg(F.sum("value")).scalar()
     return one.withColumn("pct_of_total", F.when(total > 0, F.col("value") / total * 100.0))
 
 

@@ -14,8 +14,13 @@ EXCLUDED_SYMBOLS = ("", "usdt", "usdc", "dai", "fdusd", "tusd", "usdd", "usdp",
 EXCLUDED_CATEGORIES = ("cex", "stablecoins", "stablecoin", "tokenizedtreasury", "tokenisedtreasury", "treasurymanager", "reservecurrency")
 CATEGORY_PRIORITY = {"derivatives": 0, "perps": 0, "dexs": 1, "dex": 1, "lending": 2, "rwa lending": 2, "liquid staking": 3, "yield": 3, "restaking": 3, "bridge": 4}
 # Vendor metric ids that show a metric family is covered.
-METRIC_GROUPS = {"has_revenue": ("rev-usd", "revenue-total-usd", "dex-revenue-usd", "lending-revenue-total-usd"),
-                 "has_fees": ("transaction-fee-total-usd", "dex-fees-usd", "fees-total-usd", "app-fees-total-usd", "mev-tips-fees-usd")}
+METRIC_GROUPS = {"has_price": ("token-price-usd",),
+                 "has_market_cap": ("token-market-cap-usd", "market-cap-usd"),
+                 "has_fdv": ("token-fdv-usd", "fdv-usd"),
+                 "has_revenue": ("rev-usd", "revenue-total-usd", "app-revenue-total-usd", "dex-revenue-usd", "lending-revenue-total-usd"),
+                 "has_fees": ("transaction-fee-total-usd", "dex-fees-usd", "fees-total-usd", "app-fees-total-usd", "mev-tips-fees-usd"),
+                 "has_lending_deposits": ("lending-deposit-total-usd",),
+                 "has_blockworks_tvl": ("lending-tvl-total-usd", "tvl-total-usd")}
 # Category synonyms.
 LABELS = {"l1": "L1 / L2", "l2": "L1 / L2", "l1/l2": "L1 / L2", "rollup": "L1 / L2", "derivatives": "Perps", "perpetuals": "Perps", "perps": "Perps",
           "decentralized exchanges": "DEX", "liquid staking": "Yield / Restaking", "restaking": "Yield / Restaking"}

@@ -11,12 +11,12 @@ from daygrid.config import SETTINGS
 from daygrid.functions.rolling import DATE, ENTITY, chg, corr_of, ffill, first_value, pct_chg, ratio, roll
 from daygrid.operators import cross_section as X
 from daygrid.operators import ordered
-from daygrid.operators.score import STABLE_TICKERS
 
 LEVELS = ("price", "volume", "mcap", "fdv", "revenue", "fees", "deposits", "tvl", "open_interest", "addresses", "burn", "issuance")
-# Summary metrics and their labels; stable-like categories.
+# Summary metrics and their labels; stable-like tickers and categories.
 CHANGE_METRICS = {"revenue_mom_pct": "Revenue", "fees_mom_pct": "Fees", "deposits_mom_pct": "Deposits", "oi_mom_pct": "Open interest"}
-STABLE_CATEGORIES = ("stablecoin", "stablecoins")
+STABLE_TICKERS = ("BUSD", "CRVUSD", "DAI", "FDUSD", "FRAX", "GHO", "LUSD", "MIM", "PYUSD", "RLUSD", "SUSD", "TUSD", "USDC", "USDC.E", "USDD", "USDE", "USDG", "USDL", "USDP", "USDS", "USDT", "USDT0", "USDY")
+STABLE_CATEGORIES = ("algo-stables", "dual-token stablecoin", "stablecoin", "stablecoins")
 
 
 def coalesce_columns(columns: list[str]) -> Column:
@@ -133,12 +133,16 @@ def is_stable_like(ticker: str = "ticker", category: str = "category") -> Column
 
 
 def top_price_changes(ts: DataFrame, n: int = 100, rows_back: int = 30) -> DataFrame:
-    """30-row price change at the latest date per ticker, the n largest by cap."""
+    """30-row price change at the latest date per ticker, the n largest by cap.
+
+    A change from a price of zero is no number: its row takes a place among the n largest, and is left out afterwards.
+    """
     w = Window.partitionBy("ticker").orderBy(DATE)
-    moved = ts.where(~is_stable_like() & F.col("price").isNotNull()).withColumn("price_30d_pct", (ratio("price", F.lag("price", rows_back).over(w)) - 1.0) * 100.0)
-    ok = moved.where(F.col("price_30d_pct").isNotNull() & F.col("mcap").isNotNull())
+    base = F.lag("price", rows_back).over(w)
+    moved = ts.where(~is_stable_like() & F.col("price").isNotNull()).withColumns({"price_30d_pct": (ratio("price", base) - 1.0) * 100.0, "_endless": (base == 0) & (F.col("price") != 0)})
+    ok = moved.where((F.col("price_30d_pct").isNotNull() | F.col("_endless")) & F.col("mcap").isNotNull())
     latest = ok.groupBy("ticker").agg(F.max_by(F.struct(DATE, "price_30d_pct", "mcap"), DATE).alias("_r")).select("ticker", "_r.*")
-    return latest.orderBy(F.desc("mcap"), "ticker").limit(n)
+    return latest.orderBy(F.desc("mcap"), "ticker").limit(n).where(F.col("price_30d_pct").isNotNull())
 
 
 def histogram(df: DataFrame, value: str, bins: int = 24) -> DataFrame:

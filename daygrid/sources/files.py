@@ -25,8 +25,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_panel(df: DataFrame, path: str) -> None:
-    """Panel as parquet partitioned by month, so date filters prune folders."""
-    df.withColumn("month", F.date_format("date", "yyyy-MM")).repartition("month").write.mode("overwrite").partitionBy("month").parquet(path)
+    """Panel as parquet partitioned by month, so date filters prune folders.
+
+    Ranges of date and entity, rather than months, are dealt to tasks: a month may fill several.
+    """
+    keys = [c for c in ("date", "entity") if c in df.columns]
+    df.withColumn("month", F.date_format("date", "yyyy-MM")).repartitionByRange(*keys).write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def write_version(df: DataFrame, path: str, version: int) -> None:
