@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,8 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daygrid.sources.store import folder
+
 #: Bytes of text that a Python step holds at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
 #: The blanks of the word pattern [^\x20\x09-\x0D]+; bytes.split() cuts at exactly these.
 BLANKS = " \t\n\r\x0b\x0c"
 
@@ -21,8 +29,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Let the session send at most BATCH_ROWS rows at once to Python, so that batches of long texts fit beside the heap,
+    and hand this package to its Python workers, once for each context."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    context = spark.sparkContext
+    if not getattr(context, "_daygrid_sent", False):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        to = os.path.realpath(tempfile.mkdtemp(prefix="daygrid-code-"))  # the driver's own; Spark serves the archive to the workers
+        atexit.register(shutil.rmtree, to, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{to}/daygrid-code", "zip", root, "daygrid"))
+        context._daygrid_sent = True
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, under fixed names; a null text is empty. Other columns, whatever their names, are never read."""
+    prepare(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
@@ -31,14 +55,6 @@ def crc_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; tests set their own."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder, so that a lost executor repeats nothing before it."""
     path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

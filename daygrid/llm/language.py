@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from daygrid.llm.common import chunks, crc_of_id, ddl, fields, flat_words, record, texts
+from daygrid.llm.common import chunks, crc_of_id, ddl, fields, flat_words, prepare, record, texts
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -243,4 +243,5 @@ def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text
             out += [p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)]
         return pd.Series(out, dtype="bool")
 
+    prepare(docs.sparkSession)
     return docs.where(known(F.col(f"`{text_col}`").cast("string")))

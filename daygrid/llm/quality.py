@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import BLANKS, chunks, ddl, fields, flat_words, record, texts
+from daygrid.llm.common import BLANKS, chunks, ddl, fields, flat_words, prepare, record, texts
 
 SYMBOLS = "#*$%&|<>"
 
@@ -148,4 +148,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             out.extend(measure(part.column(0).to_pylist(), rules)[-1].tolist())
         return pd.Series(out, dtype="bool")
 
+    prepare(docs.sparkSession)
     return docs.where(passes(F.col(f"`{text_col}`").cast("string")))
