@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from daygrid.llm.common import written
+
 #: Words of an anchor; its inner substrings are single words, so about 2 of K positions are anchors.
 K = 8
 #: Documents of one run of ids that meet in a task, to find their neighbours.
 SPAN = 4096
+#: Runs up to which the list of their first ids (16 bytes each) is broadcast; a longer one is joined by a shuffle.
+FEW = 1_000_000
 _LOWEST = -(2**63)
 
 
@@ -47,7 +51,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def followers(docs: DataFrame, span: int) -> DataFrame:
-    """Each row with the text and anchors of the next one in descending order of id; the first follows the last.
+    """Each row with the text of the next one in descending order of id; the first follows the last.
 
     Ids are cut into runs of `span`, and a run meets in one task. The first row of a run is also sent to the run
     before it, where it sorts last; to find those, only one id per run is ordered as a whole. Equal ids go by
@@ -58,9 +62,12 @@ def followers(docs: DataFrame, span: int) -> DataFrame:
     first = rows.groupBy("run").agg(F.max("id").alias("id"))
     down = Window.orderBy(F.col("run").desc())
     borders = first.select("run", F.coalesce(F.lead("id").over(down), F.max("id").over(Window.partitionBy())).alias("id"))
+    borders = written(borders, "borders")
+    if borders.count() <= FEW:
+        borders = F.broadcast(borders)
     lent = rows.drop("run").join(borders, "id").withColumn("lent", F.lit(True)).select(rows.columns)
     each = Window.partitionBy("run").orderBy("lent", F.col("id").desc(), F.col("text").desc())
-    following = F.lead(F.struct("text", "anchors")).over(each)
+    following = F.lead("text").over(each)
     return rows.unionByName(lent).withColumn("next", following).where(~F.col("lent")).drop("id", "run", "lent")
 
 
@@ -74,14 +81,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    hashed = rows.withColumn("h", word_hashes(F.col("text"))).withColumn("places", anchor_places(F.col("h"), k))
-    own = hashed.select("doc_id", "text", "places", anchors(F.col("h"), F.col("places"), k).alias("anchors"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring("next.text", F.lit(1), third))
-    both = (followers(own, span).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
-            .withColumn("h", word_hashes(F.col("edited"))).withColumn("edited_places", anchor_places(F.col("h"), k))
-            .withColumn("edited_anchors", anchors(F.col("h"), F.col("edited_places"), k)))
-    return both.select(
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring("next", F.lit(1), third))
+    # texts alone are shuffled: anchors are taken again from what a row has got, rather than moved with it
+    each = followers(rows, span).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
+    for c in ("text", "edited", "next"):
+        each = each.withColumn(f"{c}_h", word_hashes(F.col(c)))
+        each = each.withColumn(f"{c}_places", anchor_places(F.col(f"{c}_h"), k))
+        each = each.withColumn(f"{c}_anchors", anchors(F.col(f"{c}_h"), F.col(f"{c}_places"), k))
+    return each.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("anchors"), F.col("places")).alias("fingerprint"), as_text(F.col("edited_anchors"), F.col("edited_places")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next.anchors")).alias("near_next"))
+        as_text(F.col("text_anchors"), F.col("text_places")).alias("fingerprint"), as_text(F.col("edited_anchors"), F.col("edited_places")).alias("edited_fingerprint"),
+        likeness(F.col("text_anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("text_anchors"), F.col("next_anchors")).alias("near_next"))
