@@ -22,6 +22,8 @@ HELD = 200_000
 COMMON = 150_000
 #: Words up to this length are laid out in rows of one length; longer ones go one by one.
 WIDE = 24
+#: Rounds of expectation in which the pieces' probabilities are fitted.
+ROUNDS = 2
 #: Words of one length in a step of the recursion.
 ROWS = 8192
 
@@ -75,8 +77,9 @@ class Lattice:
             forward[j] = np.logaddexp.reduce(ways)
         return float(forward[-1])
 
-    def many(self, words: list[str]) -> np.ndarray:
-        """The same for words of one length, position by position over all of them."""
+    def edges(self, words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The lattice of words of one length: for each end in turn, the first begin, and for every begin and word the
+        piece between them, whether there is one, and the log probability of the way (-inf where there is none)."""
         n = len(words[0]) + 1
         code = np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
         prefix = np.zeros((n + 1, len(words)), np.uint64)
@@ -85,21 +88,47 @@ class Lattice:
         power = [np.uint64(1)]
         for _ in range(min(n, self.longest)):
             power.append(np.uint64(int(power[-1]) * int(_BASE) % (1 << 64)))
-        forward = np.full((n + 1, len(words)), -np.inf)
-        forward[0] = 0.0
         for j in range(1, n + 1):
             first = max(0, j - self.longest)
             h = np.stack([prefix[j] - prefix[i] * power[j - i] for i in range(first, j)])
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             found = self.hashes[at] == h
-            ways = np.where(found, forward[first:j] + self.log_p[self.ids[at]], -np.inf)
+            piece = self.ids[at]
+            way = np.where(found, self.log_p[piece], -np.inf)
             alone = ~found[-1]
             if alone.any():
                 spelled = {c: self.spelled(chr(c)) for c in np.unique(code[alone, j - 1]).tolist()}
-                ways[-1, alone] = forward[j - 1, alone] + np.array([spelled[c] for c in code[alone, j - 1].tolist()])
+                way[-1, alone] = [spelled[c] for c in code[alone, j - 1].tolist()]
+            yield first, piece, found, way
+
+    def many(self, words: list[str]) -> np.ndarray:
+        """The same for words of one length, end by end over all of them."""
+        forward = np.full((len(words[0]) + 2, len(words)), -np.inf)
+        forward[0] = 0.0
+        for j, (first, _, _, way) in enumerate(self.edges(words), 1):
+            ways = forward[first:j] + way
+            top = ways.max(axis=0)
+            forward[j] = top + np.log(np.exp(ways - top).sum(axis=0))
+        return forward[-1]
+
+    def expect(self, words: list[str], weight: np.ndarray, total: np.ndarray) -> None:
+        """Add to `total` how often each piece is expected in the segmentations of words of one length (forward-backward)."""
+        n, kept = len(words[0]) + 1, list(self.edges(words))
+        forward, backward = (np.full((n + 1, len(words)), -np.inf) for _ in range(2))
+        forward[0], backward[n] = 0.0, 0.0
+        for j, (first, _, _, way) in enumerate(kept, 1):
+            ways = forward[first:j] + way
             top = ways.max(axis=0)
             forward[j] = top + np.log(np.exp(ways - top).sum(axis=0))
-        return forward[n]
+        for j in range(n, 0, -1):
+            first, piece, found, way = kept[j - 1]
+            onward = way + backward[j]
+            backward[first:j] = np.logaddexp(backward[first:j], onward)
+            share = np.exp(forward[first:j] + onward - forward[n]) * weight
+            total += np.bincount(piece[found], share[found], len(total))
+            for k in np.flatnonzero(~found[-1]).tolist():
+                for byte in ("▁" + words[k])[j - 1].encode():
+                    total[self.bytes[byte]] += share[-1, k]
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """log10 of each word's probability, summed over all its segmentations; of END as the piece that ends a text."""
@@ -156,31 +185,41 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ddl(_COUNT)).groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
-def piece_log_p(counts: DataFrame, path: str) -> np.ndarray:
-    """Log probabilities of the vocabulary's pieces: how often its own segmentation of the training words uses each, and
-    0.1 more. The result has one number per piece of the vocabulary."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = per_worker(path, None)
-        total = np.zeros(len(lattice.log_p))
-        for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for i in range(0, len(words), 50_000):
-                ids = lattice.tokenizer.encode([w.decode() for w in words[i : i + 50_000]], num_threads=1)
-                n = [len(x) for x in ids]
-                total += np.bincount(np.fromiter(chain.from_iterable(ids), np.int64, sum(n)), np.repeat(c[i : i + 50_000], n), len(total))
-        used = np.flatnonzero(total)
-        yield record(_PIECE, used.astype(np.int32), total[used])
+def piece_log_p(counts: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the vocabulary's pieces, from all training words by their counts.
 
-    trained = counts.where("c > 0")
-    found = trained.where(F.col("word") != F.lit(END)).select("word", "c").mapInArrow(run, ddl(_PIECE)).groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    The start is how often the vocabulary's own segmentation uses each piece, and 0.1 more; in each round it is how
+    often a piece is expected over all segmentations. The result has one number per piece of the vocabulary.
+    """
     lattice = Lattice(path)
-    n = np.full(len(lattice.log_p), 0.1)
-    for r in found:
-        n[r["piece"]] += r["n"]
+    trained = counts.where("c > 0")
     ends = trained.where(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
-    n[lattice.tokenizer.eos_id()] = ends + 0.1
-    return np.log(n / n.sum())
+    words = trained.where(F.col("word") != F.lit(END)).select("word", "c")
+    log_p = None
+    for _ in range(rounds + 1):
+
+        def run(batches: Iterable[pa.RecordBatch], log_p: np.ndarray | None = log_p) -> Iterator[pa.RecordBatch]:
+            lattice = per_worker(path, log_p)
+            total = np.zeros(len(lattice.log_p))
+            for batch in batches:
+                text, c = [w.decode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float)
+                length = np.array([len(t) for t in text])
+                own = np.flatnonzero(length > WIDE) if log_p is not None else np.arange(len(text))
+                ids = lattice.tokenizer.encode([text[k] for k in own.tolist()], num_threads=1)
+                n = [len(x) for x in ids]
+                total += np.bincount(np.fromiter(chain.from_iterable(ids), np.int64, sum(n)), np.repeat(c[own], n), len(total))
+                for n in np.unique(length[length <= WIDE]).tolist() if log_p is not None else ():
+                    some = np.flatnonzero(length == n)
+                    lattice.expect([text[k] for k in some.tolist()], c[some], total)
+            used = np.flatnonzero(total)
+            yield record(_PIECE, used.astype(np.int32), total[used])
+
+        n = np.full(len(lattice.log_p), 0.1)
+        for r in words.mapInArrow(run, ddl(_PIECE)).groupBy("piece").agg(F.sum("n").alias("n")).collect():
+            n[r["piece"]] += r["n"]
+        n[lattice.tokenizer.eos_id()] = ends + 0.1
+        log_p = np.log(n / n.sum())
+    return log_p
 
 
 def frequent(counts: DataFrame, most: int) -> int:

@@ -178,6 +178,19 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(lattice.one("hello"), lattice.many(["hello"])[0]) and np.isfinite(lattice.log10([words[-1].encode()])[0])
 
 
+def test_expected_pieces_raise_the_likelihood():
+    rng = np.random.default_rng(1)
+    lattice = lm.Lattice(public_tokenizers.path("piece_bpe_32k.model"), np.log(rng.dirichlet(np.ones(32000))))
+    words, weight = ["hello", "world", "stone", "漢字xyz"[:5], "thing"], np.array([3.0, 1.0, 2.0, 1.0, 5.0])
+    before = lattice.many(words) @ weight
+    total = np.zeros(32000)
+    lattice.expect(words, weight, total)
+    assert np.isclose(total[[lattice.pieces[p] for p in lattice.pieces if p.startswith("▁")]].sum(), weight.sum())
+    assert total[lattice.bytes[ord("h")]] == 0
+    lattice.log_p = np.log(np.maximum(total, 1e-12) / np.maximum(total, 1e-12).sum())
+    assert lattice.many(words) @ weight > before
+
+
 def test_lm_counts(table, corpus):
     counts = Counter()
     for i, v, *_ in corpus:
