@@ -131,7 +131,7 @@ def _(spark, sf):
 @query("V10_ytd_to_quarter", FACT_SQL + """, dl AS (SELECT *, lag("end") OVER w AS pe, lag(value) OVER w AS pv FROM lf WINDOW w AS (PARTITION BY ticker, start ORDER BY "end")),
   qs AS (SELECT ticker, start, "end", value, duration, 'reported_quarter' AS source FROM lf WHERE duration BETWEEN 70 AND 110 UNION ALL SELECT ticker, pe + 1, "end", value - pv, ("end" - pe)::INT, 'derived_from_ytd_delta' FROM dl WHERE duration > 110 AND pe IS NOT NULL AND value >= pv),
   qq AS (SELECT *, year("end") || 'Q' || quarter("end") AS quarter FROM qs QUALIFY row_number() OVER (PARTITION BY ticker, start, "end" ORDER BY source DESC) = 1)
-  SELECT ticker, start, "end", value, duration, source, quarter FROM qq WHERE quarter IN (SELECT DISTINCT quarter FROM qq ORDER BY quarter DESC LIMIT 4)""")
+  SELECT ticker, start, "end", value, duration, source, quarter FROM qq""")
 def _(spark, sf):
     q = V.quarterly_from_ytd(saved(facts(spark, sf).drop("k"), "facts"))
     return q.select("ticker", "start", "end", "value", "duration", "source", "quarter")
@@ -198,7 +198,7 @@ def _(spark, sf):
     return V.next_filing(f, issuers(spark, sf), "issuer", "fye", F.lit(dt.date(2001, 8, 15)))
 
 
-@query("V16_notable_filings", FILING_SQL + " SELECT issuer, k, form, filed, accn FROM fl WHERE form IN ('8-K', '10-K') AND filed >= DATE '2001-07-20' - 45 ORDER BY filed DESC, accn LIMIT 30")
+@query("V16_notable_filings", FILING_SQL + " SELECT issuer, k, form, filed, accn FROM fl WHERE form IN ('8-K', '10-K') AND filed >= DATE '2001-07-20' - 45")
 def _(spark, sf):
     return V.notable_filings(filings(spark, sf), ["8-K", "10-K"], F.lit(dt.date(2001, 7, 20))).select("issuer", "k", "form", "filed", "accn")
 
@@ -229,29 +229,29 @@ def markets(spark, sf):
     return m.select(F.col(ENTITY).alias("source_id"), F.col("list_price").alias("price"), (F.col("n_parts") * 1e6).alias("fdv"), (F.col("n_parts") * 1e5).alias("volume"), ((n * 7 % 19 - 9) * 1.5).alias("chg_7d"), F.when(n % 6 != 0, (n * 5 % 23 - 11) * 2.25).alias("chg_30d"))
 
 
-@query("V18_token_movers", BRAND + f""", {_MK}, v AS (SELECT entity AS source_id, sum(volume) AS v FROM daily WHERE date >= (SELECT max(date) FROM days) - 29 AND entity <> 'Brand#2' GROUP BY 1),
+@query("V18_token_movers", BRAND + f""", {_MK}, v AS (SELECT entity AS source_id, sum(volume) AS v FROM daily WHERE date >= (SELECT max(date) FROM days) - 29 GROUP BY 1),
   ok AS (SELECT 'T' || substr(source_id, 7) AS ticker, price, fdv, v AS volume_30d, chg_7d, chg_30d FROM mk JOIN v USING (source_id) WHERE fdv >= 2e7 AND v >= 100000),
   l AS (SELECT ticker, price, fdv, volume_30d, '7D Price' AS horizon, chg_7d AS change FROM ok UNION ALL SELECT ticker, price, fdv, volume_30d, '30D Price', chg_30d FROM ok WHERE chg_30d IS NOT NULL),
   r AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY change DESC, ticker) AS a, row_number() OVER (PARTITION BY horizon ORDER BY change, ticker) AS b FROM l)
   SELECT horizon, 'gainer' AS side, CAST(a AS INT) AS pos, ticker, change, volume_30d FROM r WHERE a <= 5 UNION ALL SELECT horizon, 'loser', CAST(b AS INT), ticker, change, volume_30d FROM r WHERE b <= 5""")
 def _(spark, sf):
     last = T.bounds(spark, sf).select("hi").scalar()
-    d = T.brand_daily(spark, sf).where((F.col(DATE) >= F.date_sub(last, 29)) & (F.col(ENTITY) != "Brand#2"))
+    d = T.brand_daily(spark, sf).where(F.col(DATE) >= F.date_sub(last, 29))
     ts = d.select(F.col(ENTITY).alias("source_id"), F.concat(F.lit("T"), F.substr(ENTITY, F.lit(7))).alias("ticker"), DATE, "volume")
     return V.token_movers(ts, markets(spark, sf), 2e7, 100_000.0).select("horizon", "side", "pos", "ticker", "change", "volume_30d")
 
 
-@query("V19_sector_performance", f"""WITH {_MK}, t AS (SELECT 't' || m.n AS ticker, m.category AS sector, fdv AS value, chg_7d AS change, fdv / (1 + chg_7d / 100) AS b FROM mk JOIN ({MASTER}) m ON m.entity = source_id WHERE source_id <> 'Brand#9')
+@query("V19_sector_performance", f"""WITH {_MK}, t AS (SELECT 't' || m.n AS ticker, m.category AS sector, fdv AS value, chg_7d AS change, fdv / (1 + chg_7d / 100) AS b FROM mk JOIN ({MASTER}) m ON m.entity = source_id)
   SELECT sector, sum(value) AS latest, round(sum(b), 3) AS base, count(DISTINCT ticker) AS tokens, round((sum(value) / sum(b) - 1) * 100, 6) + 0.0::DOUBLE AS change,
-    array_to_string(list_sort(list(upper(ticker)))[1:3], ', ') || CASE WHEN count(*) > 3 THEN ', ...' ELSE '' END AS token_list FROM t GROUP BY 1""")
+    array_to_string(list_sort(list(upper(ticker))), ', ') AS token_list FROM t GROUP BY 1""")
 def _(spark, sf):
     cats = T.brand_master(spark, sf).select(F.col(ENTITY).alias("source_id"), F.concat(F.lit("t"), F.col("n").cast("string")).alias("ticker"), F.col("category").alias("sector"))
-    t = markets(spark, sf).join(cats, "source_id").where("source_id <> 'Brand#9'").select("ticker", "sector", F.col("fdv").alias("value"), F.col("chg_7d").alias("change"))
-    return V.sector_performance(t, 3).select("sector", "latest", r6("base", 3).alias("base"), "tokens", r6("change").alias("change"), "token_list")
+    t = markets(spark, sf).join(cats, "source_id").select("ticker", "sector", F.col("fdv").alias("value"), F.col("chg_7d").alias("change"))
+    return V.sector_performance(t).select("sector", "latest", r6("base", 3).alias("base"), "tokens", r6("change").alias("change"), "token_list")
 
 
 @query("V20_chain_fee_totals", """WITH c AS (SELECT CASE o_custkey % 30 WHEN 0 THEN 'BNB Chain' ELSE 'Chain' || (o_custkey % 30) END AS chain, 2 * round(o_totalprice) + 1 AS v FROM orders UNION ALL SELECT 'OP Mainnet', 3.0 FROM orders)
-  SELECT chain, sum(v) AS fees FROM c GROUP BY 1 ORDER BY fees DESC, chain LIMIT 20""")
+  SELECT chain, sum(v) AS fees FROM c GROUP BY 1""")
 def _(spark, sf):
     v = F.col("v")
     name = F.when(F.col("o_custkey") % 30 == 0, "BSC").otherwise(F.concat(F.lit("chain"), (F.col("o_custkey") % 30).cast("string")))
@@ -263,7 +263,7 @@ def _(spark, sf):
 _FLOW = f"WITH nf AS (SELECT entity, sum(bridge_flow) AS flow FROM ({NATION_DAILY}) GROUP BY 1)"
 
 
-@query("V21_signed_top", _FLOW + " SELECT * FROM (FROM nf WHERE flow > 0 ORDER BY flow DESC, entity LIMIT 8) UNION ALL SELECT * FROM (FROM nf WHERE flow < 0 ORDER BY flow, entity LIMIT 8)")
+@query("V21_signed_top", _FLOW + " SELECT * FROM nf WHERE flow <> 0")
 def _(spark, sf):
     nf = T.nation_revenue(spark, sf).groupBy(ENTITY).agg(F.sum("bridge_flow").alias("flow"))
     return V.signed_top(saved(nf, "flows"), "flow", ENTITY)

@@ -154,7 +154,7 @@ def _(spark, sf):
 def _(spark, sf):
     keys = ["pct_above", "median_vs_btc", "highs_lows", "stablecoin", "realised_vol", "real_yields", "equity", "ai_bias"]
     label = F.create_map(*[x for k, n in zip(keys, ("% tokens above 20w SMA", "Median token vs BTC, 8w", "New highs vs new lows", "Stablecoin supply growth", "8-week realised volatility", "Real yields", "SPY / QQQ trend", "AI macro bias")) for x in (F.lit(n), F.lit(k))])
-    return I.indicator_rows(features(spark, sf), keys).where("choppy = 100").select(WEEK, label[F.col("indicator")].alias("key"), "score", "choppy")
+    return I.indicator_rows(saved(features(spark, sf), "features"), keys).where("choppy = 100").select(WEEK, label[F.col("indicator")].alias("key"), "score", "choppy")
 
 
 def indicators(spark, sf):

@@ -254,12 +254,12 @@ def _(spark, sf):
 
 
 @query("E17_match_audit", _CG + """, b AS (SELECT entity, method, confidence FROM cgm UNION ALL SELECT entity, 'venue', 0.95 FROM m WHERE entity % 4 = 0),
-  r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY confidence DESC, method DESC) AS rn FROM b WHERE entity % 5 <> 0)
+  r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY confidence DESC, method DESC) AS rn FROM b)
   SELECT m.entity, coalesce(method, 'blockworks_only') AS match_method, coalesce(confidence, 1.0::DOUBLE) AS match_confidence FROM m LEFT JOIN r ON r.entity = m.entity AND rn = 1""")
 def _(spark, sf):
     left, _ = left_and_coins(spark, sf)
     venue = left.where("entity % 4 = 0").select("entity", F.lit("venue").alias("method"), F.lit(0.95).alias("confidence"))
-    audits = match_coins(spark, sf).select("entity", "method", "confidence").unionByName(venue).where("entity % 5 <> 0")
+    audits = match_coins(spark, sf).select("entity", "method", "confidence").unionByName(venue)
     return E.attach_audit(left.select("entity"), audits)
 
 
@@ -285,12 +285,12 @@ def _(spark, sf):
     return E.metric_coverage(catalogue(spark, sf)).withColumn("identifiers", F.array_join("identifiers", ","))
 
 
-@query("E19_coverage_flags", BRAND + f""" , l AS (SELECT entity, arg_max(issuance, date) AS i, arg_max(price, date) AS p FROM panel WHERE date = (SELECT max(date) FROM panel) - 20 GROUP BY 1), l2 AS (SELECT entity, issuance AS i, price AS p, dex_volume AS d FROM panel WHERE date = (SELECT max(date) FROM panel) - 20 AND entity <> 'Brand#1')
+@query("E19_coverage_flags", BRAND + f""" , l AS (SELECT entity, arg_max(issuance, date) AS i, arg_max(price, date) AS p FROM panel WHERE date = (SELECT max(date) FROM panel) - 20 GROUP BY 1), l2 AS (SELECT entity, issuance AS i, price AS p, dex_volume AS d FROM panel WHERE date = (SELECT max(date) FROM panel) - 20)
   SELECT entity, coalesce(p IS NOT NULL, FALSE) AS has_price, coalesce(i IS NOT NULL, FALSE) AS has_revenue, coalesce(d IS NOT NULL, FALSE) AS has_tvl, CASE WHEN d IS NOT NULL THEN 'defillama' END AS primary_tvl_source FROM ({MASTER}) LEFT JOIN l2 USING (entity)""")
 def _(spark, sf):
     p = T.brand_panel(spark, sf).select("entity", DATE, "price", "issuance", "dex_volume")
     day = F.date_sub(T.bounds(spark, sf).select("hi").scalar(), 20)
-    snap = p.where((F.col(DATE) == day) & (F.col("entity") != "Brand#1"))
+    snap = p.where(F.col(DATE) == day)
     m = T.brand_master(spark, sf).select("entity")
     return E.coverage_flags(m, snap, {"has_price": "price", "has_revenue": "issuance", "has_tvl": "dex_volume"}).select("entity", "has_price", "has_revenue", "has_tvl", "primary_tvl_source")
 

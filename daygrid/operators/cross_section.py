@@ -126,11 +126,10 @@ def pairwise_spearman(df: DataFrame, signals: list[str], keys: list[str]) -> Dat
     return row.select(F.inline(entries))
 
 
-def high_correlations(pairs: DataFrame, limit: float = SETTINGS.max_pairwise_corr, top: int = 10) -> DataFrame:
-    return (
-        pairs.where(F.abs("corr") > limit)
-        .orderBy(F.abs("corr").desc(), "left_signal", "right_signal").limit(top)
-    )
+def high_correlations(pairs: DataFrame, limit: float = SETTINGS.max_pairwise_corr, top: int | None = None) -> DataFrame:
+    """Pairs beyond the limit, all or the `top` strongest."""
+    rows = pairs.where(F.abs("corr") > limit)
+    return rows if top is None else rows.orderBy(F.abs("corr").desc(), "left_signal", "right_signal").limit(top)
 
 
 def min_observations(df: DataFrame, value: str, by: list[str]) -> DataFrame:

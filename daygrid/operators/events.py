@@ -145,8 +145,8 @@ def latest_facts(facts: DataFrame) -> DataFrame:
     return facts.groupBy("ticker", "start", "end").agg(best.alias("_f")).select("ticker", "start", "end", *[f"_f.{c}" for c in rest])
 
 
-def quarterly_from_ytd(facts: DataFrame, quarters: int = 4) -> DataFrame:
-    """Quarters as reported, or as the difference of successive year-to-date facts of one year start."""
+def quarterly_from_ytd(facts: DataFrame, quarters: int | None = None) -> DataFrame:
+    """Quarters as reported, or as the difference of successive year-to-date facts of one year start; all, or the last few."""
     cum = latest_facts(facts.where(valid_ytd()))
     w = Window.partitionBy("ticker", "start").orderBy("end")
     cols = ["ticker", "start", "end", "filed", "accn", "value", "duration", "source"]
@@ -157,6 +157,8 @@ def quarterly_from_ytd(facts: DataFrame, quarters: int = 4) -> DataFrame:
     best = Window.partitionBy("ticker", "start", "end").orderBy(F.desc("source"), F.desc("filed"), F.desc("accn"))
     one = both.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") == 1).drop("_rn")
     one = one.withColumn("quarter", F.concat(F.year("end"), F.lit("Q"), F.quarter("end")))
+    if quarters is None:
+        return one
     recent = one.select("quarter").distinct().orderBy(F.desc("quarter")).limit(quarters)
     return one.join(F.broadcast(recent), "quarter", "left_semi")
 
@@ -218,8 +220,10 @@ def next_filing(filings: DataFrame, issuers: DataFrame, key: str, fye: str, toda
     return out.select(key, "form", "period", due.alias("expected"), days.alias("days"), status.alias("status"))
 
 
-def notable_filings(filings: DataFrame, forms: list[str], today: Column, days: int = 45, n: int = 30) -> DataFrame:
-    return filings.where(F.col("form").isin(*forms) & (F.col("filed") >= F.date_sub(today, days))).orderBy(F.desc("filed"), "accn").limit(n)
+def notable_filings(filings: DataFrame, forms: list[str], today: Column, days: int = 45, n: int | None = None) -> DataFrame:
+    """Filings of the given forms in the last days, all or the n latest."""
+    rows = filings.where(F.col("form").isin(*forms) & (F.col("filed") >= F.date_sub(today, days)))
+    return rows if n is None else rows.orderBy(F.desc("filed"), "accn").limit(n)
 
 
 # ---- market monitor ----
@@ -258,19 +262,23 @@ def token_movers(ts: DataFrame, markets: DataFrame, min_fdv: float = 100_000_000
     return top.unionByName(low)
 
 
-def sector_performance(tokens: DataFrame, show: int = 35) -> DataFrame:
-    """Cap-weighted change per sector: base value is latest / (1 + change); tokens as a short list.
+def sector_performance(tokens: DataFrame, show: int | None = None) -> DataFrame:
+    """Cap-weighted change per sector: base value is latest / (1 + change); tokens as a list, whole or its beginning.
 
     tokens: ticker, sector, value, change (percent).
     """
     base = F.try_divide(F.col("value"), 1.0 + F.col("change") / 100.0)
     ok = tokens.withColumn("_b", base).where((F.col("value") > 0) & (F.col("_b") > 0))
     sums = ok.groupBy("sector").agg(F.sum("value").alias("latest"), F.sum("_b").alias("base"), F.count_distinct("ticker").alias("tokens"))
-    # the first names in order are picked by rank, so a sector's names are never gathered
-    w = Window.partitionBy("sector").orderBy("t")
-    first = ok.select("sector", F.upper("ticker").alias("t")).where(F.trim("t") != "").distinct().withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= show + 1)
+    first = ok.select("sector", F.upper("ticker").alias("t")).where(F.trim("t") != "").distinct()
+    if show is not None:
+        # the first names in order are picked by rank before they are gathered
+        w = Window.partitionBy("sector").orderBy("t")
+        first = first.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= show + 1)
     listed = first.groupBy("sector").agg(F.array_sort(F.collect_list("t")).alias("_l"))
-    text = F.when(F.size("_l") > show, F.concat(F.array_join(F.slice("_l", 1, show), ", "), F.lit(", ..."))).otherwise(F.array_join("_l", ", "))
+    text = F.array_join("_l", ", ")
+    if show is not None:
+        text = F.when(F.size("_l") > show, F.concat(F.array_join(F.slice("_l", 1, show), ", "), F.lit(", ..."))).otherwise(text)
     return sums.join(listed, "sector", "left").select("sector", "latest", "base", "tokens", ((F.try_divide("latest", "base") - 1.0) * 100.0).alias("change"), text.alias("token_list"))
 
 
@@ -285,16 +293,18 @@ def canonical_chain(name: Column, overrides: dict[str, str] | None = None) -> Co
     return F.when(t == "", "Unknown").otherwise(F.coalesce(m[F.lower(t)], F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))))
 
 
-def chain_totals(df: DataFrame, breakdown: str, n: int = 20) -> DataFrame:
-    """Nested per-protocol breakdown {chain: {part: value}} summed by chain, largest n."""
+def chain_totals(df: DataFrame, breakdown: str, n: int | None = None) -> DataFrame:
+    """Nested per-protocol breakdown {chain: {part: value}} summed by chain, all or the n largest."""
     chains = df.select(F.explode(F.from_json(breakdown, "map<string,map<string,double>>")).alias("chain", "_v"))
     parts = F.aggregate(F.filter(F.map_values("_v"), lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v)
     out = chains.groupBy(canonical_chain(F.col("chain")).alias("chain")).agg(F.sum(parts).alias("fees")).where(F.col("fees") > 0)
-    return out.orderBy(F.desc("fees"), "chain").limit(n)
+    return out if n is None else out.orderBy(F.desc("fees"), "chain").limit(n)
 
 
-def signed_top(rows: DataFrame, value: str, tie: str, n: int = 8) -> DataFrame:
-    """n largest positive and n most negative rows."""
+def signed_top(rows: DataFrame, value: str, tie: str, n: int | None = None) -> DataFrame:
+    """Positive and negative rows, all or the n largest and the n most negative."""
+    if n is None:
+        return rows.where(F.col(value) != 0)
     up = rows.where(F.col(value) > 0).orderBy(F.desc(value), tie).limit(n)
     return up.unionByName(rows.where(F.col(value) < 0).orderBy(F.asc(value), tie).limit(n))
 
@@ -370,12 +380,14 @@ def observations_back(series: DataFrame, value: str, k: int = 4) -> DataFrame:
     return series.where(F.col(value).isNotNull()).select(DATE, (chg(value, k, _days()) * 100.0).alias("change"))
 
 
-def points_frame(df: DataFrame, payload: str, columns: dict[str, str], keys: list[str], millis: Column, max_points: int = 1825) -> DataFrame:
-    """`[{timestamp, ..}]` payloads to dated rows, the last points per key."""
+def points_frame(df: DataFrame, payload: str, columns: dict[str, str], keys: list[str], millis: Column, max_points: int | None = None) -> DataFrame:
+    """`[{timestamp, ..}]` payloads to dated rows, all or the last points per key."""
     schema = "array<struct<timestamp:double," + ",".join(f"{c}:double" for c in columns) + ">>"
     rows = df.select(*keys, F.inline(F.from_json(payload, schema)))
     ts = F.timestamp_seconds(F.col("timestamp") / F.when(millis, 1000.0).otherwise(1.0))
     out = rows.where(F.col("timestamp").isNotNull()).select(*keys, F.to_date(ts).alias(DATE), *[F.col(a).alias(b) for a, b in columns.items()])
+    if max_points is None:
+        return out
     w = Window.partitionBy(*keys).orderBy(F.desc(DATE))
     return out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_points).drop("_rn")
 

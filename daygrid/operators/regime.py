@@ -232,11 +232,19 @@ def rules() -> dict[str, Column]:
     return out
 
 
+#: Rules whose code is generated together.
+RULES_AT_ONCE = 3
+
+
 def indicator_rows(features: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Long (week, family, indicator, score, regime_fit, votes.*), one row per indicator and week."""
+    """Long (week, family, indicator, score, regime_fit, votes.*), one row per indicator and week.
+
+    A few rules at a time: each branch reads the columns of its own rules, and its generated code stays small.
+    """
     table = rules()
     chosen = [table[n] for n in (names or table)]
-    return features.select(WEEK, "dd", F.inline(F.array(*chosen))).select(WEEK, "dd", "family", "indicator", "score", "regime_fit", "votes.*")
+    branches = [features.select(WEEK, "dd", F.inline(F.array(*chosen[i : i + RULES_AT_ONCE]))) for i in range(0, len(chosen), RULES_AT_ONCE)]
+    return reduce(DataFrame.unionByName, branches).select(WEEK, "dd", "family", "indicator", "score", "regime_fit", "votes.*")
 
 
 def family_scores(rows: DataFrame) -> DataFrame:
