@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from daygrid.config import FAMILIES, PRESET_WEIGHTS, SETTINGS
 from daygrid.functions.rolling import DATE, ENTITY, corr_of
 from daygrid.operators import cross_section as X
-from daygrid.operators.score import renormalised, settle
+from daygrid.operators.score import SCORE_DECIMALS, renormalised, settle
 from daygrid.sources.store import beside
 
 LONG_SHORT = ("always_l_s", "sticky_l_s", "regime_aware_l_s")
@@ -258,15 +258,71 @@ def spread_weights(scores: DataFrame, grid: DataFrame, families: tuple[str, ...]
     return wide.withColumns({"wid": F.col("_w.wid"), "composite": renormalised(ws)}).drop("_w", *families)
 
 
+def _ics_of_date(keys: list[str], wids: list[int], weights: list[list[float]], families: list[str], ret: str, least: int, decimals: int):
+    """Rank ICs of all weightings over one date's names, as a local function: it travels with the plan.
+
+    The names with a composite depend only on which weights are above zero, so returns are ranked once for each such
+    set of families and shared by its weightings, which are ranked a block of columns at a time.
+    """
+
+    def ranks(x):
+        import numpy as np
+
+        order = np.argsort(x, axis=0, kind="stable")
+        s = np.take_along_axis(x, order, axis=0)
+        at = np.arange(len(x))[:, None]
+        new = np.vstack([np.ones((1, x.shape[1]), bool), s[1:] != s[:-1]])
+        first = np.maximum.accumulate(np.where(new, at, 0), axis=0)
+        ends = np.vstack([new[1:], np.ones((1, x.shape[1]), bool)])
+        last = np.minimum.accumulate(np.where(ends, at, len(x))[::-1], axis=0)[::-1]
+        out = np.empty(x.shape)
+        np.put_along_axis(out, order, (first + last) / 2.0, axis=0)
+        return out
+
+    def compute(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        score, value = rows[families].to_numpy(float), rows[ret].to_numpy(float)
+        ws, ic = np.array(weights), np.full(len(wids), np.nan)
+        for used in {tuple(w > 0) for w in ws}:
+            of = np.flatnonzero(((ws > 0) == used).all(axis=1))
+            own = (~np.isnan(score[:, list(used)])).any(axis=1)
+            if own.sum() < least:
+                continue
+            f, r = score[own], ranks(value[own, None])
+            r = r - r.mean()
+            for i in range(0, len(of), step := max(1, min(256, 1_000_000 // len(f)))):
+                some = of[i : i + step]
+                num, den = np.zeros((len(f), len(some))), np.zeros((len(f), len(some)))
+                for k in range(len(families)):
+                    num = num + np.nan_to_num(f[:, k, None]) * ws[some, k]
+                    den = den + np.where(np.isnan(f[:, k, None]), 0.0, ws[some, k])
+                c = ranks(np.round(num / den, decimals))
+                c = c - c.mean(axis=0)
+                spread = np.sqrt((c * c).sum(axis=0) * (r * r).sum())
+                ic[some] = np.where(spread > 0, (c * r).sum(axis=0) / np.where(spread > 0, spread, 1.0), np.nan)
+        out = pd.DataFrame({"wid": wids, "ic": pd.array(ic, dtype="Float64")})
+        for k in keys:
+            out[k] = rows[k].iloc[0]
+        return out[[*keys, "wid", "ic"]]
+
+    return compute
+
+
 def grid_ic(scores: DataFrame, labels: DataFrame, grid: DataFrame, dates: DataFrame, max_names: int | None, ret: str = "ret_14",
             by: tuple[str, ...] = (), families: tuple[str, ...] = FAMILIES) -> DataFrame:
-    """Mean rank IC of every weighting over the search dates; rows are cut to those dates first."""
+    """Mean rank IC of every weighting over the search dates; rows are cut to those dates first.
+
+    Scores move once, to their date: the weightings (a fixed number of rows, whatever the data) are applied inside the
+    date's task, so no row is multiplied before it is ranked, and only one IC per date and weighting leaves.
+    """
     keep = [*by, DATE]
     near = scores.join(F.broadcast(dates.select(*keep)), keep, "left_semi")
-    near = near.join(labels.select(ENTITY, DATE, ret), [ENTITY, DATE]).where(F.col(ret).isNotNull())
-    comp = spread_weights(near, grid, families)
-    ic = X.rank_ic(comp, "composite", ret, [*by, "wid", DATE], max_names)
-    means = ic.groupBy(*by, "wid").agg(settle(F.avg("ic")).alias("mean_ic"))
+    near = near.join(labels.select(ENTITY, DATE, ret), [ENTITY, DATE]).where(F.col(ret).isNotNull()).select(*keep, *families, ret)
+    table = grid.orderBy("wid").collect()
+    ics = _ics_of_date(keep, [r["wid"] for r in table], [[r[f"weight_{f}"] for f in families] for r in table], list(families), ret, SETTINGS.min_names_ic, SCORE_DECIMALS)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in near.select(*keep).schema) + ", wid int, ic double"
+    means = near.groupBy(*keep).applyInPandas(ics, schema).groupBy(*by, "wid").agg(settle(F.avg("ic")).alias("mean_ic"))
     if by:
         return means.join(F.broadcast(grid), "wid")
     return grid.join(means, "wid", "left")
