@@ -54,7 +54,7 @@ def _(spark, sf):
 
 
 TRAIN = period_sql("Train", 14)
-SEARCH = every_sql(TRAIN, 30)
+SEARCH = f"SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) AS rn, count(*) OVER () AS n FROM ({TRAIN})) WHERE n <= 30 OR (rn - 1) % 30 = 0"
 REBAL = every_sql(TRAIN, 14)
 _GIC = STUDY_SQL + GRID_SQL + f""", st AS (SELECT w.*, ret, eligible, shortable FROM wide4 w JOIN study USING (entity, date)), gs AS (SELECT wid, date, ret, {WCOMP} AS s FROM st, gr WHERE ret IS NOT NULL AND date IN ({SEARCH})),
   gi AS (SELECT gr.*, mean_ic FROM gr LEFT JOIN (SELECT wid, round(avg(ic), 10) AS mean_ic FROM ({ic_sql('gs', 's', 'ret', 'wid, date')}) GROUP BY 1) USING (wid))"""
@@ -67,7 +67,7 @@ def primary(frame):
 @query("B14_weight_search_ic_only", _GIC + " SELECT wid, round(wa, 4) AS weight_fundamentals, round(wb, 4) AS weight_momentum, round(wc, 4) AS weight_flows, round(wd, 4) AS weight_factor_improvement, mean_ic FROM gi")
 def _(spark, sf):
     f = primary(frame_of(spark, sf))
-    dates = W.every_kth(W.period_dates(days(spark, sf), "Train", 14, P), 30)
+    dates = W.search_dates(W.period_dates(days(spark, sf), "Train", 14, P), 30)
     out = B.grid_ic(f.select(ENTITY, DATE, *FAMILIES), f.select(ENTITY, DATE, "ret"), B.weight_grid(spark), dates, names(spark, sf), "ret")
     return out.select("wid", *[r6(f"weight_{x}", 4).alias(f"weight_{x}") for x in FAMILIES], "mean_ic")
 
@@ -92,10 +92,17 @@ _Z = lambda c, w: f"""{w} * CASE WHEN count({c}) OVER () < 2 OR stddev_pop({c})
 def _(spark, sf):
     f = primary(frame_of(spark, sf))
     train = W.period_dates(days(spark, sf), "Train", 14, P)
-    out = K.search(f, spark, W.every_kth(train, 30), W.every_kth(train, 14), names(spark, sf))
+    out = K.search(f, spark, W.search_dates(train, 30), W.every_kth(train, 14), names(spark, sf))
     return out.select("wid", *[r6(c, 5 if c in ("sharpe", "objective") else 6).alias(c) for c in ("mean_ic", "spread", "total_return", "sharpe", "max_drawdown", "turnover", "objective")])
 
 
+@query("B13_search_dates", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS m FROM orders)
+  SELECT m, date FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY date) AS rn, count(*) OVER (PARTITION BY m) AS n FROM d) WHERE n <= 30 OR (rn - 1) % 30 = 0""")
+def _(spark, sf):
+    day = F.to_date("o_orderdate")
+    return W.search_dates(T.table(spark, sf, "orders").select((F.year(day) * 12 + F.month(day)).alias("m"), day.alias(DATE)).distinct(), 30, ("m",))
+
+
 @query("B15_preset_composites", STUDY_SQL + " " + " UNION ALL ".join(f"SELECT entity, date, '{m}' AS model, {renorm_sql(w)} AS score FROM wide4 WHERE date IN ({TEST14})" for m, w in PRESET_WEIGHTS.items()))
 def _(spark, sf):
     rows = frame_of(spark, sf).join(F.broadcast(test_dates(spark, sf)), DATE, "left_semi").select(ENTITY, DATE, *FAMILIES)

@@ -59,6 +59,13 @@ def every_kth(days: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     return days.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") - 1) % k == 0).drop("_rn")
 
 
+def search_dates(days: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every k-th date from the first, or all dates where there are k or fewer."""
+    w = Window.partitionBy(*(by or (F.lit(0),)))
+    ranked = days.withColumns({"_rn": F.row_number().over(w.orderBy(DATE)), "_n": F.count("*").over(w)})
+    return ranked.where((F.col("_n") <= k) | ((F.col("_rn") - 1) % k == 0)).drop("_rn", "_n")
+
+
 def rebalance_dates(days: DataFrame, period: str, horizon: int, p: Periods) -> DataFrame:
     return every_kth(period_dates(days, period, horizon, p), horizon)
 

@@ -109,7 +109,7 @@ def rolling_diagnostics(frame: DataFrame, signals: dict[str, tuple[str, str]], r
     long = frame.select(ENTITY, DATE, F.inline(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("signal"), F.col(c).alias("z")) for c, (f, s) in signals.items()]))).where(F.col("z").isNotNull())
     scores = saved(C.apply_decisions(long, decisions, max_names, ("fold",)), "fold-scores")
     labels = frame.select(ENTITY, DATE, F.col(f"ret_{h0}").alias("ret"), *FLAGS, "shortable", "regime", F.col(f"btc_ret_{h0}").alias("btc_return"))
-    search_dates = W.every_kth(train, SETTINGS.search_every, ("fold",))
+    search_dates = W.search_dates(train, SETTINGS.search_every, ("fold",))
     grid = B.grid_ic(scores, labels, B.weight_grid(spark), search_dates, max_names, "ret", ("fold",))
     weights = saved(weight_table(spark, B.best_by_ic(grid, ("fold",)), ("fold",)), "fold-weights")
     val = beside(days, folds).where(F.col(DATE).between(F.col("validation_start"), F.col("validation_end"))).select("fold", DATE)
@@ -134,7 +134,7 @@ def walk_forward(frame: DataFrame, scores: DataFrame, signals: dict[str, tuple[s
     learned = {}
     for name, keep in (("learned_global", None), ("learned_bullish", "Bullish"), ("learned_bearish", "Bearish")):
         d = train if keep is None else train.join(F.broadcast(regimes.where(F.col("regime") == keep)), DATE, "left_semi")
-        learned[name] = best_weights(search(primary, spark, W.every_kth(d, SETTINGS.search_every), W.every_kth(d, h0), max_names))
+        learned[name] = best_weights(search(primary, spark, W.search_dates(d, SETTINGS.search_every), W.every_kth(d, h0), max_names))
     plan = None
     for period in ("Validation", "Test"):
         for h in SETTINGS.horizons:
