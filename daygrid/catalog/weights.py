@@ -157,24 +157,24 @@ def order_runs(spark, sf):
 
 
 _STATS = _ROLL + """, fs AS (SELECT model, variant, eligible_universe, count(total_return) AS rolling_folds, count(*) FILTER (total_return > 0) AS rolling_positive_folds, avg(total_return) AS rolling_avg_total_return, min(total_return) AS rolling_min_total_return, avg(sharpe) AS rolling_avg_sharpe
-  FROM rl WHERE horizon = 14 AND fold < 2000 GROUP BY 1, 2, 3)"""
+  FROM rl WHERE horizon = 14 GROUP BY 1, 2, 3)"""
 
 
 @query("B18_fold_statistics", _STATS + " SELECT model, variant, eligible_universe, rolling_folds, rolling_positive_folds, round(rolling_avg_total_return, 6) + 0.0::DOUBLE AS rolling_avg_total_return, round(rolling_min_total_return, 6) + 0.0::DOUBLE AS rolling_min_total_return, round(rolling_avg_sharpe, 6) + 0.0::DOUBLE AS rolling_avg_sharpe FROM fs")
 def _(spark, sf):
-    s = B.fold_statistics(order_runs(spark, sf).where("fold < 2000"))
+    s = B.fold_statistics(order_runs(spark, sf))
     return s.select("model", "variant", "eligible_universe", "rolling_folds", "rolling_positive_folds", *[r6(c).alias(c) for c in ("rolling_avg_total_return", "rolling_min_total_return", "rolling_avg_sharpe")])
 
 
-_GATES = _STATS + """, v AS (SELECT model, variant, eligible_universe, horizon, 'Validation' AS period, total_return + 0.02 AS total_return, sharpe, max_drawdown, calmar, avg_turnover, n_rebalances, fs.* EXCLUDE (model, variant, eligible_universe) FROM rl LEFT JOIN fs USING (model, variant, eligible_universe) WHERE fold = 2000),
+_GATES = _STATS + """, v AS (SELECT model, variant, eligible_universe, horizon, 'Validation' AS period, total_return + 0.02 AS total_return, sharpe, max_drawdown, calmar, avg_turnover, n_rebalances, fs.* EXCLUDE (model, variant, eligible_universe) FROM rl LEFT JOIN fs USING (model, variant, eligible_universe) WHERE fold = (SELECT max(fold) FROM rl)),
   g AS (SELECT *, horizon = 14 AS pr, variant IN ('always_l_s', 'sticky_l_s') AS ls, coalesce(total_return > 0 AND sharpe > 0 AND n_rebalances >= 3 AND max_drawdown >= -0.5, FALSE) AS ok, coalesce(rolling_folds >= 3 AND rolling_positive_folds >= 3 AND rolling_avg_total_return > 0, FALSE) AS rok FROM v),
   gt AS (SELECT *, CASE WHEN pr THEN coalesce(sharpe, -5) + greatest(least(coalesce(calmar, -5), 5), -5) * 0.25::DOUBLE + coalesce(total_return, -1) * 2 - coalesce(avg_turnover, 2) * 0.05::DOUBLE END AS selection_score, pr AND ls AS is_l_s_candidate, pr AND NOT ls AS is_directional_candidate, pr AND ls AND ok AS passes_validation_gate, pr AND rok AS passes_rolling_gate, pr AND ls AND ok AND rok AS passes_strict_gate FROM g)"""
 
 
 def gated(spark, sf):
     r = order_runs(spark, sf)
-    v = r.where("fold = 2000").withColumns({"period": F.lit("Validation"), "total_return": F.col("total_return") + 0.02})
-    return B.selection_gates(v.join(B.fold_statistics(r.where("fold < 2000")), ["model", "variant", "eligible_universe"], "left"))
+    v = r.where(F.col("fold") == r.agg(F.max("fold")).scalar()).withColumns({"period": F.lit("Validation"), "total_return": F.col("total_return") + 0.02})
+    return B.selection_gates(v.join(B.fold_statistics(r), ["model", "variant", "eligible_universe"], "left"))
 
 
 _FLAGS = ("is_l_s_candidate", "is_directional_candidate", "passes_validation_gate", "passes_rolling_gate", "passes_strict_gate")
