@@ -153,3 +153,32 @@ def test_gate_needs_positive_validation_and_folds(spark):
     assert (out["model"], out["variant"], out["status"]) == ("learned_global", "always_l_s", "STRICT_PASS")
     out = B.choose_candidate(B.selection_gates(spark.createDataFrame([weak, direct], cols))).first()
     assert (out["model"], out["status"]) == ("equal_family", "NO_STRICT_PASS")
+
+
+def test_grid_ic_ranks_inside_each_date(spark):
+    """Against the composite of every row and weighting, ranked by window."""
+    import random
+
+    from daygrid.operators import cross_section as X
+
+    r = random.Random(3)
+    day = [dt.date(2024, 1, d) for d in (1, 2, 3)]
+    pick = lambda: r.choice([None, -1.0, 0.5, r.random()])
+    rows = [(f"E{i}", d, *[pick() for _ in FAMILIES], r.choice([None, 0.1, r.random()])) for d in day for i in range(15)]
+    scores = spark.createDataFrame(rows, "entity string, date date, " + ", ".join(f"{f} double" for f in FAMILIES) + ", ret double")
+    dates = spark.createDataFrame([(d,) for d in day[:2]], "date date")
+    grid = B.weight_grid(spark).where("wid % 40 = 0")
+    got = {x["wid"]: x["mean_ic"] for x in B.grid_ic(scores.drop("ret"), scores.select("entity", "date", "ret"), grid, dates, 15, "ret").collect()}
+    near = scores.join(dates, "date").where("ret is not null")
+    ic = X.rank_ic(B.spread_weights(near, grid), "composite", "ret", ["wid", "date"], 15)
+    want = {x["wid"]: x["m"] for x in ic.groupBy("wid").agg(F.avg("ic").alias("m")).collect()}
+    assert len(got) == len(want) > 20
+    assert all((got[w] is None) == (want[w] is None) and (want[w] is None or abs(got[w] - want[w]) < 1e-9) for w in want)
+
+
+def test_search_dates_keeps_short_lists(spark):
+    from daygrid.operators import research as W
+
+    days = spark.createDataFrame([(k, dt.date(2024, 1, 1) + dt.timedelta(days=i)) for k, n in (("a", 30), ("b", 61)) for i in range(n)], "k string, date date")
+    n = {r["k"]: r["count"] for r in W.search_dates(days, 30, ("k",)).groupBy("k").count().collect()}
+    assert n == {"a": 30, "b": 3}
