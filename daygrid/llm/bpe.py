@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from daygrid.llm.common import chunks, ddl, fields, record, texts
+from daygrid.llm.common import chunks, ddl, fields, per_worker, record, texts
 
 #: How the published byte-level vocabularies cut a text before the merges.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -147,13 +147,6 @@ class Bpe:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-def per_worker(path: str, make: Callable[[str], Bpe] = Bpe, _made: dict = {}) -> Bpe:  # noqa: B006
-    """One vocabulary for each worker process."""
-    if path not in _made:
-        _made[path] = make(path)
-    return _made[path]
-
-
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Ids of every whole text and the text decoded from them, as digests (`with_ids`: and as arrays and text).
 
@@ -164,7 +157,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     schema = pa.schema([*_OUT, pa.field("ids", pa.list_(pa.int64())), pa.field("decoded", pa.string())]) if with_ids else _OUT
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = per_worker(vocabulary)
+        bpe = per_worker(("bpe", vocabulary), lambda: Bpe(vocabulary))
         for part in chunks(batches):
             ids = bpe.encode(part.column(1).to_pylist())
             back = [bpe.decode(i) for i in ids]

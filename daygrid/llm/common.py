@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from daygrid.sources.store import folder
 
 #: Bytes of text that a Python step holds at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Rows of an Arrow batch.
 BATCH_ROWS = 2000
 #: The blanks of the word pattern [^\x20\x09-\x0D]+; bytes.split() cuts at exactly these.
@@ -62,6 +62,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict = {}
+
+
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: one thing at a time, so that operators that follow each other in
+    the same workers don't add up their tables."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def alone() -> None:
+    """For operators that keep nothing: leave the memory to this task."""
+    _KEPT.clear()
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `size` bytes in the column; rows stay whole."""
     for batch in batches:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from daygrid.llm.common import chunks, crc_of_id, ddl, fields, flat_words, prepare, record, texts
+from daygrid.llm.common import alone, chunks, crc_of_id, ddl, fields, flat_words, prepare, record, texts, written
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Words whose scores a worker keeps; the table is emptied beyond that.
 CACHED = 250_000
-CHUNK_BYTES = 8 << 20
+#: Words whose n-grams are laid out at once.
+WORDS = 20_000
+#: Rows of the chosen sample up to which it is broadcast.
+FEW = 1_000_000
 
 _OUT = fields(doc_id=pa.int64(), held_out=pa.bool_(), lang_pred=pa.string(), score=pa.float64())
 
@@ -88,9 +92,12 @@ class Field:
             self.seen, self.rows = {}, self.rows[:0]
         new = list(set(words) - self.seen.keys())
         if new:
-            letter = np.array([LETTER.search(w.decode()) is not None for w in new], np.float32)
             self.seen.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, np.c_[self.emissions(new), letter].astype(np.float32)])
+            parts = [self.rows]
+            for some in batched(new, WORDS):
+                letter = np.array([LETTER.search(w.decode()) is not None for w in some], np.float32)
+                parts.append(np.c_[self.emissions(list(some)), letter].astype(np.float32))
+            self.rows = np.concatenate(parts)
         seen = self.seen
         return self.rows[np.fromiter((seen[w] for w in words), np.int64, len(words))]
 
@@ -125,11 +132,11 @@ class Field:
         if not self.langs or not words:
             return [UNKNOWN] * len(values), [0.0] * len(values)
         rows = self.look_up(words)
-        letter = rows[:, -1:].astype(np.float64)
-        share = self.marginals(rows[:, :-1], starts)[0] * letter
-        total = np.zeros((len(words) + 1, len(self.langs) + 1))
-        np.cumsum(np.c_[share, letter], axis=0, out=total[1:])
-        total = total[starts[1:]] - total[starts[:-1]]
+        share = rows.copy()
+        share[:, :-1] = self.marginals(rows[:, :-1], starts)[0] * rows[:, -1:]
+        total = np.zeros((len(values), len(self.langs) + 1))
+        full = np.flatnonzero(np.diff(starts))
+        total[full] = np.add.reduceat(share, starts[:-1][full], axis=0, dtype=np.float64)
         count = total[:, -1]
         mean = total[:, :-1] / np.maximum(count, 1)[:, None]
         best = mean.argmax(axis=1)
@@ -202,28 +209,33 @@ def train(sample: list[tuple[str, str]], plan: Training = Training()) -> Field:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", plan: Training = Training()) -> Field:
-    """Train on labelled rows whose crc32(id) mod 4 is not 2. Each task keeps its first rows of a language only."""
+    """Train on labelled rows whose crc32(id) mod 4 is not 2. Ids are chosen first (each task keeps its first ones of a
+    language), so that only the sample's texts are cut into words and move."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    rows = rows.where((crc_of_id("doc_id") % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    rows = rows.where((crc_of_id("doc_id") % 4 != 2) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = written(rows.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= plan.texts), "sample")
+    if chosen.count() <= FEW:
+        chosen = F.broadcast(chosen)
     words = F.expr("filter(split(text, '[ \\\\x09-\\\\x0D]+'), w -> w <> '')")
     cut = F.slice(F.col("w"), F.greatest(F.lit(1), F.floor((F.size("w") - plan.words) / 2).cast("int") + 1), plan.words)
-    chosen = rows.select("lang", "doc_id", "text").withColumn("n", F.row_number().over(first)).where(F.col("n") <= plan.texts)
-    sample = chosen.withColumn("w", words).select("lang", "n", F.array_join(cut, " ").alias("words")).collect()
+    found = rows.join(chosen, ["lang", "doc_id"]).withColumn("w", words).select("lang", "n", F.array_join(cut, " ").alias("words"))
+    sample = found.groupBy("lang", "n").agg(F.min("words").alias("words")).collect()  # repeated rows count once
     return train([(r["lang"], r["words"]) for r in sorted(sample, key=lambda r: (r["lang"], r["n"]))], plan)
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", field: Field | None = None) -> DataFrame:
     """Language of every whole text, one row per input row, without a shuffle of texts.
 
-    `und` with score 0 where the text is null or has no letter, or nothing was there to learn from. A null id counts as
-    the empty text in the choice of training rows and stays null; repeated rows give repeated results; an empty table
-    no rows; of the other columns none is read.
+    `und` with score 0 where the text is null or has no letter, or nothing was there to learn from. A row with a null id
+    is not learned from (its remainder is that of the empty text) and stays null; repeated rows give repeated results
+    and are learned from once; an empty table gives no rows; of the other columns none is read.
     """
     model = docs.sparkSession.sparkContext.broadcast(field or fit(docs, id_col, text_col, lang_col))  # a few MB, whatever the table
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, size=CHUNK_BYTES):
+        alone()
+        for part in chunks(batches):
             yield record(_OUT, part.column(0), part.column(2), *model.value.predict(part.column(1).to_pylist()))
 
     return texts(docs, id_col, text_col).withColumn("held_out", crc_of_id() % 4 == 2).mapInArrow(run, ddl(_OUT))
@@ -237,8 +249,9 @@ def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text
     def known(values):
         import pandas as pd
 
+        alone()
         out = []
-        for part in chunks([pa.RecordBatch.from_arrays([pa.array(values.fillna(""), pa.string())], ["text"])], size=CHUNK_BYTES):
+        for part in chunks([pa.RecordBatch.from_arrays([pa.array(values.fillna(""), pa.string())], ["text"])]):
             pred, score = model.value.predict(part.column(0).to_pylist())
             out += [p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)]
         return pd.Series(out, dtype="bool")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import BLANKS, chunks, ddl, fields, record, texts
+from daygrid.llm.common import BLANKS, alone, chunks, ddl, fields, record, texts
 
 # Notices by which public licences are commonly declared.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -213,6 +213,7 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, id_col, text_col))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for part in chunks(batches):
             yield record(_OUT, part.column(0), *zip(*shared.value.scan(part.column(1).to_pylist()), strict=True))
 

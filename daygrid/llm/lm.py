@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import chunks, crc_of_id, ddl, fields, record, texts, written
+from daygrid.llm.common import chunks, crc_of_id, ddl, fields, per_worker, record, texts, written
 
 #: The token that ends every text; no word is empty.
 END = b""
@@ -147,12 +147,8 @@ class Lattice:
         return out / np.log(10)
 
 
-def per_worker(path: str, log_p: np.ndarray | None, _made: dict = {}) -> Lattice:  # noqa: B006
-    key = (path, None if log_p is None else log_p.tobytes())
-    if key not in _made:
-        _made.clear()
-        _made[key] = Lattice(path, log_p)
-    return _made[key]
+def _lattice(path: str, log_p: np.ndarray | None) -> Lattice:
+    return per_worker(("lattice", path, None if log_p is None else log_p.tobytes()), lambda: Lattice(path, log_p))
 
 
 def tokens(text: str) -> list[bytes]:
@@ -199,7 +195,7 @@ def piece_log_p(counts: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarra
     for _ in range(rounds + 1):
 
         def run(batches: Iterable[pa.RecordBatch], log_p: np.ndarray | None = log_p) -> Iterator[pa.RecordBatch]:
-            lattice = per_worker(path, log_p)
+            lattice = _lattice(path, log_p)
             total = np.zeros(len(lattice.log_p))
             for batch in batches:
                 text, c = [w.decode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float)
@@ -254,7 +250,7 @@ def log_likelihood(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     log_p, reach = piece_log_p(counts, vocabulary), frequent(counts, common)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = per_worker(vocabulary, log_p)
+        lattice = _lattice(vocabulary, log_p)
         for batch in batches:
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             yield record(_WORD, words, c, c > 0, np.log10((c + 0.1) / (n + 0.1 * (v + 1))), lattice.log10(words))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import BLANKS, chunks, ddl, fields, flat_words, prepare, record, texts
+from daygrid.llm.common import BLANKS, alone, chunks, ddl, fields, flat_words, prepare, record, texts
 
 SYMBOLS = "#*$%&|<>"
 
@@ -130,6 +130,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for part in chunks(batches):
             yield record(_OUT, part.column(0), *measure(part.column(1).to_pylist(), rules))
 
@@ -143,6 +144,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     def passes(values):
         import pandas as pd
 
+        alone()
         out = []
         for part in chunks([pa.RecordBatch.from_arrays([pa.array(values.fillna(""), pa.string())], ["text"])]):
             out.extend(measure(part.column(0).to_pylist(), rules)[-1].tolist())
