@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import chunks, ddl, fields, record, texts, written
+from daygrid.llm.common import alone, chunks, ddl, fields, record, texts, written
 
 #: Cells of the table of n-gram counts that orders the n-grams; its size doesn't depend on the data.
 CELLS = 1 << 20
@@ -95,6 +95,7 @@ def describe(rows: DataFrame, words: int) -> DataFrame:
     """Size, hash and sketch of each text's set, and each task's count of n-grams per cell."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         cells = np.zeros(CELLS, np.uint32)
         for part in chunks(batches):
             gram, starts = ngram_sets(part.column(1).to_pylist(), words)
@@ -127,6 +128,7 @@ def index_entries(rows: DataFrame, cells: np.ndarray, words: int, percent: int)
     table = rows.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for part in chunks(batches):
             gram, starts = ngram_sets(part.column(1).to_pylist(), words)
             n = np.diff(starts)
@@ -148,7 +150,8 @@ def lists(rows: DataFrame, sets: DataFrame, cells: np.ndarray, words: int, perce
     pair's first shared n-gram is among the lists that stay.
     """
     entries = index_entries(rows, cells, words, percent)
-    shared = entries.groupBy("token").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("token")
+    # written, so that the join below has an exchange of its own on either side and a hot list's rows can be split
+    shared = written(entries.groupBy("token").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("token"), "shared-tokens")
     entries = written(entries.join(shared, "token", "left_semi").groupBy("token", "s").agg(F.min("at").alias("at")), "lists")
     seeded = F.xxhash64("s", F.lit(1))
     members = entries.groupBy("token").agg(F.bit_xor("s").alias("a"), F.bit_xor(seeded).alias("b"), F.count("*").alias("k"), F.sum(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("places"))
@@ -223,6 +226,7 @@ def pairs(blocks: DataFrame, percent: int, forest: bool) -> DataFrame:
     columns = ["list", "node", "at", "sketch"] + ([] if forest else ["side", "comp"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         held: list[pa.RecordBatch] = []
 
         def compare(table: pa.Table) -> pa.RecordBatch:
@@ -275,6 +279,7 @@ def verified(candidates: DataFrame, rows: DataFrame, words: int, percent: int) -
     """The pairs whose whole sets link. A node is the smallest id with its set; its text is read again."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for part in chunks(batches, "a"):
             n = len(part)
             gram, starts = ngram_sets(part.column("a").to_pylist() + part.column("b").to_pylist(), words)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import chunks, ddl, fields, flat_words, prepare, record, written
+from daygrid.llm.common import alone, chunks, ddl, fields, flat_words, prepare, record, written
 
 #: Words of the runs whose smallest hash sends a window to its index shard.
 ANCHOR = 5
@@ -19,8 +19,6 @@ ANCHOR = 5
 HOT = 20_000
 #: Words that one FM-index holds at most, but for a single anchor.
 SHARD_WORDS = 400_000
-#: Bytes of text that a step holds at once.
-CHUNK_BYTES = 2 << 20
 _LOWEST = -(2**63)
 _FACTOR, _POWER = 0xD6E8FEB86659FD93, np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,13 +189,15 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     rows = _keyed(docs, id_col, text_col)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, size=CHUNK_BYTES):
+        alone()
+        for part in chunks(batches):
             ids, crc = (part.column(c).to_numpy() for c in (0, 2))
             h, text, first, size, content = segments(part.column(1).to_pylist(), window)
             yield record(_SEGMENT, h, ids[text], (first << 37) | (size << 32) | crc[text], content)
 
     found = rows.mapInArrow(cut, ddl(_SEGMENT))
-    twice = found.groupBy("h").count().where("count > 1").select("h")
+    # written, so that the join below has an exchange of its own on either side and a hot anchor's rows can be split
+    twice = written(found.groupBy("h").count().where("count > 1").select("h"), "shared-anchors")
     found = written(found.join(twice, "h", "left_semi"), "segments")
     contents = found.groupBy("h", "d").agg(F.min(F.struct("id", "p")).alias("rep"))
     several = contents.groupBy("h").agg(F.count("*").alias("several")).where("several > 1")
@@ -208,7 +208,8 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     wanted = differ.unionByName(apart).groupBy("id", _part(F.col("p"), "crc").alias("crc")).agg(F.collect_list(F.struct("hot", "h", "d", "p")).alias("wanted"))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, size=CHUNK_BYTES):
+        alone()
+        for part in chunks(batches):
             out = []
             for doc, text, wanted in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 words = text.encode().split()
@@ -226,6 +227,7 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     texts_ = written(rows.join(wanted, ["id", "crc"]).select("id", "text", "wanted").mapInArrow(read, ddl(_CUT)), "segment-texts")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         held: list[pa.RecordBatch] = []
 
         def index(table: pa.Table) -> pa.RecordBatch:
@@ -290,7 +292,8 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
     joined, text = _with_spans(docs.select(f"`{id_col}`", f"`{text_col}`"), repeats(docs, window, id_col, text_col, hot), id_col, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, size=CHUNK_BYTES):
+        alone()
+        for part in chunks(batches):
             n, gone, digest = [], [], []
             for value, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 words = value.encode().split()
