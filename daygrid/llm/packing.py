@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import chunks, ddl, fields, record, texts, written
+from daygrid.llm.common import alone, chunks, ddl, fields, per_worker, record, texts, written
 
 #: Words kept per worker; the table is emptied beyond that.
-CACHED = 400_000
+CACHED = 500_000
 #: Waiting documents that one sweep holds.
 SWEEP_ROWS = 100_000
 
@@ -25,43 +29,72 @@ _STATE = fields(kind=pa.int32(), size=pa.int32(), uid=pa.int64(), sequence_id=pa
 _NAMES = [f.name for f in _STATE]
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are first asked for; `new` lists those not yet encoded."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordIds:
     """Ids of whole texts from a tokenizer that drops blanks: those of its words, each encoded once per worker."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.words: dict[bytes, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f) | {"truncation": None, "padding": None}
+        self.tokenizer = Tokenizer.from_str(json.dumps(data))
+        # its normalizer lower-cases and leaves other printable ASCII as it is
+        self.plain = Tokenizer.from_str(json.dumps(data | {"normalizer": None}))
+        self.ends = {c: array("I", self.plain.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
+        self.words, self.ids = Numbers(), []
 
     def encode(self, values: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [v.encode().split() for v in values]
         if len(self.words) > CACHED:
-            self.words.clear()
-        new = list(set().union(*split) - self.words.keys())
-        for i in range(0, len(new), 2000):
-            self.learn(new[i : i + 2000])
-        words = self.words
-        return [b"".join([words[w] for w in s]) for s in split]
-
-    def learn(self, new: list[bytes]) -> None:
-        """Encode many words as one text and give each id to the word it starts in."""
-        text = [w.decode() for w in new]
-        begins = np.cumsum([0, *(len(t) + 1 for t in text)])
-        found = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        at = np.array([a for a, _ in found.offsets], np.int64)
-        edges = (np.searchsorted(at, begins) * 4).tolist()
-        self.words.update(zip(new, (ids[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
-
-
-def per_worker(path: str, _made: dict = {}) -> WordIds:  # noqa: B006
-    if path not in _made:
-        _made[path] = WordIds(path)
-    return _made[path]
+            self.words, self.ids = Numbers(), []
+        number = self.words.__getitem__
+        found = [list(map(number, v.encode().split())) for v in values]
+        self.learn()
+        ids = self.ids.__getitem__
+        return [b"".join(map(ids, f)) for f in found]
+
+    def learn(self) -> None:
+        """Encode the new words. Of printable ASCII the lower case is encoded, and letters apart from a full stop or comma
+        behind them, as the tokenizer parts them too: most such words are known or met twice then."""
+        known, ids, number = len(self.ids), self.ids, self.words.get
+        text = [w.decode() for w in self.words.new]
+        self.words.new.clear()
+        stems: list[tuple[bytes, str]] = []
+        ask: dict[bytes, str] = {}
+        for t in text:
+            end = ""
+            if t.isascii() and t.isprintable() and "<|" not in t:
+                t = t.lower()
+                if t[-1] in ".," and t[:-1].isalpha():
+                    t, end = t[:-1], t[-1]
+                key = b"1" + t.encode()
+            else:
+                key = b"0" + t.encode()
+            stems.append((key, end))
+            n = number(key[1:]) if key[0] == 49 else None
+            if n is None or n >= known:
+                ask[key] = t
+        found: dict[bytes, bytes] = {}
+        for tokenizer, kind in ((self.plain, 49), (self.tokenizer, 48)):
+            for some in batched((k for k in ask if k[0] == kind), 5000):
+                encoded = tokenizer.encode_batch_fast([ask[k] for k in some], add_special_tokens=False)
+                found.update((k, array("I", e.ids).tobytes()) for k, e in zip(some, encoded, strict=True))
+        ends = {"": b"", **self.ends}
+        for key, end in stems:
+            ids.append((found[key] if key in found else ids[number(key[1:])]) + ends[end])
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,7 +102,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = per_worker(vocabulary)
+        ids_of = per_worker(("words", vocabulary), lambda: WordIds(vocabulary))
         for part in chunks(batches):
             rows = []
             for doc, ids in zip(part.column(0).to_pylist(), ids_of.encode(part.column(1).to_pylist()), strict=True):
@@ -80,12 +113,13 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
     return texts(docs, id_col, text_col).mapInArrow(run, ddl(_PIECE))
 
 
-def sweep(table: pa.Table, capacity: int, open_from: int) -> pa.Table:
+def sweep(table: pa.Table, capacity: int, open_from: int, last: bool) -> pa.Table:
     """One range: from the longest document down, each takes its successor, the smallest gap that holds it.
 
     Documents of one length go by rank (their uid), and so do gaps of one size; the gap that is left stays in the
     sweep. A document without a successor waits for the next round, or opens a sequence if it has at least `open_from`
-    tokens.
+    tokens. But for the `last` round, a new sequence that could hold more of this range is taken back at the end: the
+    next round fills it from all ranges.
     """
     kind, size, uid, seq = (table.column(n).to_numpy() for n in ("kind", "size", "uid", "sequence_id"))
     out_kind, offset, to = kind.copy(), table.column("offset").to_numpy().copy(), seq.copy()
@@ -102,6 +136,7 @@ def sweep(table: pa.Table, capacity: int, open_from: int) -> pa.Table:
     for i in gaps[np.lexsort((-uid[gaps], size[gaps]))].tolist():
         put(int(size[i]), int(seq[i]))
     waiting = np.flatnonzero(kind == WAITING)
+    opened: dict[int, list[int]] = {}
     for i in waiting[np.lexsort((uid[waiting], -size[waiting]))].tolist():
         need = int(size[i])
         k = bisect_left(sizes, need)
@@ -112,12 +147,20 @@ def sweep(table: pa.Table, capacity: int, open_from: int) -> pa.Table:
                 del stacks[gap], sizes[k]
         elif need >= open_from:
             gap, sequence = capacity, int(uid[i])
+            opened[sequence] = []
         else:
             continue
         out_kind[i], to[i], offset[i] = PLACED, sequence, capacity - gap
+        if sequence in opened:
+            opened[sequence].append(i)
         if gap > need:
             put(gap - need, sequence)
     left = [(g, s) for g, stack in stacks.items() for s in stack]
+    if not last and len(waiting):
+        back = {s for g, s in left if s in opened and g >= size[waiting].min()}
+        left = [(g, s) for g, s in left if s not in back]
+        again = [i for s in back for i in opened[s]]
+        out_kind[again], offset[again], to[again] = WAITING, 0, uid[again]
     docs = table.select(_NAMES).set_column(0, _STATE.field(0), pa.array(out_kind, pa.int32())).set_column(3, _STATE.field(3), pa.array(to, pa.int64())).set_column(4, _STATE.field(4), pa.array(offset, pa.int64())).filter(pa.array(kind != GAP)).cast(_STATE)
     if not left:
         return docs
@@ -126,8 +169,12 @@ def sweep(table: pa.Table, capacity: int, open_from: int) -> pa.Table:
     return pa.concat_tables([docs, pa.Table.from_arrays([pa.array(x).cast(f.type) for f, x in zip(_STATE, (none + GAP, g, s, s, none, none, none, none, none, none), strict=True)], schema=_STATE)])
 
 
-def _sweeper(capacity: int, open_from: int) -> Callable[[pa.Table], pa.Table]:
-    return lambda table: sweep(table, capacity, open_from)
+def _sweeper(capacity: int, open_from: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        alone()  # the words are not asked for again
+        return sweep(table, capacity, open_from, last)
+
+    return run
 
 
 def _by_size(values: list[int], size: Column) -> Column:
@@ -168,10 +215,10 @@ def pack(pieces_: DataFrame, capacity: int = 4096, sweep_rows: int = SWEEP_ROWS)
     the one before has written, so a lost executor repeats one round at most.
     """
     rows = written(pieces_.withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    alone = F.col("length") * 2 > capacity
+    long = F.col("length") * 2 > capacity
     none = F.lit(0).cast("long")
-    state = rows.select(F.when(alone, PLACED).otherwise(WAITING).alias("kind"), F.col("length").cast("int").alias("size"), "uid", F.col("uid").alias("sequence_id"), none.alias("offset"), "doc_id", "piece", "start", "length", "ids_crc32")
-    gaps = rows.where(alone & (F.col("length") < capacity)).select(
+    state = rows.select(F.when(long, PLACED).otherwise(WAITING).alias("kind"), F.col("length").cast("int").alias("size"), "uid", F.col("uid").alias("sequence_id"), none.alias("offset"), "doc_id", "piece", "start", "length", "ids_crc32")
+    gaps = rows.where(long & (F.col("length") < capacity)).select(
         F.lit(GAP).alias("kind"), (capacity - F.col("length")).cast("int").alias("size"), "uid", F.col("uid").alias("sequence_id"), none.alias("offset"), none.alias("doc_id"), F.lit(0).alias("piece"), none.alias("start"), none.alias("length"), none.alias("ids_crc32"))
     state, placed, before, stuck = state.unionByName(gaps), [], None, False
     while True:
@@ -185,8 +232,9 @@ def pack(pieces_: DataFrame, capacity: int = 4096, sweep_rows: int = SWEEP_ROWS)
         widest = max((s for k, s in counts if k == GAP), default=0)
         open_from = 1 if stuck else max(widest + 1, max(lengths) // 2)
         first, share = ranges(lengths, capacity, sweep_rows)
+        last = stuck or first[-1] + share[-1] <= 1
         dealt = state.withColumn("task", _by_size(first, F.col("size")) + F.pmod(F.xxhash64("uid"), _by_size(share, F.col("size"))).cast("int")).where("task >= 0")
-        state = written(dealt.groupBy("task").applyInArrow(_sweeper(capacity, open_from), ddl(_STATE)), "packing")
+        state = written(dealt.groupBy("task").applyInArrow(_sweeper(capacity, open_from, last), ddl(_STATE)), "packing")
     return reduce(DataFrame.unionByName, placed).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
