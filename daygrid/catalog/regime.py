@@ -12,7 +12,10 @@ from daygrid.sources import tables as T
 from daygrid.sources.store import saved
 
 WEEK = I.WEEK
-_W = Window.partitionBy(F.lit(0)).orderBy(WEEK)
+
+
+def _w():
+    return Window.partitionBy(F.lit(0)).orderBy(WEEK)
 
 
 def sources(spark, sf):
@@ -38,14 +41,14 @@ def features(spark, sf):
     weekly = I.trend_features(last.withColumn("close", F.col("btc")))
     tokens = I.weekly_last(panel.withColumnRenamed("price", "close"), ["close"], (ENTITY,))
     wk = weekly.join(I.breadth_features(tokens), WEEK)
-    pct = lambda c: (F.col(c) / roll(F.avg, c, 20, 20, _W) - 1.0) * 100.0
-    wk = wk.withColumns({"m1": roll(F.avg, "p3", 20, 20, _W), "m2": roll(F.avg, "p4", 20, 20, _W), "eq1": pct("p3"), "eq2": pct("p4"), "eq_rows": F.row_number().over(_W)})
-    baskets = [chg(f"p{n}", 8, _W) * 100.0 for n in range(1, 8)]
+    pct = lambda c: (F.col(c) / roll(F.avg, c, 20, 20, _w()) - 1.0) * 100.0
+    wk = wk.withColumns({"m1": roll(F.avg, "p3", 20, 20, _w()), "m2": roll(F.avg, "p4", 20, 20, _w()), "eq1": pct("p3"), "eq2": pct("p4"), "eq_rows": F.row_number().over(_w())})
+    baskets = [chg(f"p{n}", 8, _w()) * 100.0 for n in range(1, 8)]
     n = sum((b.isNotNull().cast("int") for b in baskets), F.lit(0))
     return wk.withColumns({
-        "diff_8w": F.col("median_8w") - F.col("ret_8w"), "eq1_slope": F.col("m1") - lag("m1", 1, _W), "eq2_slope": F.col("m2") - lag("m2", 1, _W),
+        "diff_8w": F.col("median_8w") - F.col("ret_8w"), "eq1_slope": F.col("m1") - lag("m1", 1, _w()), "eq2_slope": F.col("m2") - lag("m2", 1, _w()),
         "funding": F.col("ret_4w"), "oi_pct": I.oi_percent(792_000 + F.col("ret_1w") * 4000, F.col("close")), "basis": 10 + F.col("ret_12w") / 20, "dxy": F.col("p1"),
-        "dxy_chg": chg("p1", 4, _W) * 5.0, "ai_ret": F.try_divide(sum((F.coalesce(b, F.lit(0.0)) for b in baskets), F.lit(0.0)), n) / 5.0,
+        "dxy_chg": chg("p1", 4, _w()) * 5.0, "ai_ret": F.try_divide(sum((F.coalesce(b, F.lit(0.0)) for b in baskets), F.lit(0.0)), n) / 5.0,
         "mvrv_z": 2 + F.col("ret_12w") / 50, "coin_rank": (F.col("n_weeks") * 7 % 120 + 1).cast("int"), "issuance_bn": F.col("btc_f20") / 50, "tightening": F.col("slope") < 0,
         "purchases_bn": F.col("btc_f5") / 20, "credit_bps": F.col("ret_4w") * 3, "mnav_mstr": F.col("p5") / F.col("close"), "mnav_bmnr": F.col("p6") / F.col("close"), "mnav_purr": F.col("p7") / F.col("close")})
 
