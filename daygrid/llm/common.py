@@ -79,10 +79,10 @@ def alone() -> None:
     _KEPT.clear()
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterable[pa.RecordBatch], column: str | int = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `size` bytes in the column; rows stay whole."""
     for batch in batches:
-        lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         cut = np.flatnonzero(np.diff((np.cumsum(lengths) - 1) // size)) + 1 if len(lengths) else []
         edges = [0, *cut, len(lengths)]
         for a, b in zip(edges, edges[1:], strict=False):
@@ -90,6 +90,19 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
                 yield batch.slice(a, b - a)
 
 
+def keep_rows(docs: DataFrame, text_col: str, passes: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows whose text passes (a null one counts as empty), with all their columns as they are."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
+        for part in chunks(batches, at):
+            yield part.filter(pa.array(passes([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from daygrid.llm.common import alone, chunks, crc_of_id, ddl, fields, flat_words, prepare, record, texts, written
+from daygrid.llm.common import alone, chunks, crc_of_id, ddl, fields, flat_words, keep_rows, record, texts, written
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -245,16 +245,7 @@ def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text
     """The rows whose text has a language with at least that score, with all their columns as they are."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
 
-    @F.pandas_udf("boolean")
-    def known(values):
-        import pandas as pd
+    def known(values: list[str]) -> list[bool]:
+        return [p != UNKNOWN and s >= least for p, s in zip(*model.value.predict(values), strict=True)]
 
-        alone()
-        out = []
-        for part in chunks([pa.RecordBatch.from_arrays([pa.array(values.fillna(""), pa.string())], ["text"])]):
-            pred, score = model.value.predict(part.column(0).to_pylist())
-            out += [p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)]
-        return pd.Series(out, dtype="bool")
-
-    prepare(docs.sparkSession)
-    return docs.where(known(F.col(f"`{text_col}`").cast("string")))
+    return keep_rows(docs, text_col, known)

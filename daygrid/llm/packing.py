@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from daygrid.llm.common import alone, chunks, ddl, fields, per_worker, record, texts, written
 
 #: Words kept per worker; the table is emptied beyond that.
-CACHED = 500_000
+CACHED = 800_000
 #: Waiting documents that one sweep holds.
 SWEEP_ROWS = 100_000
 
@@ -53,7 +53,6 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(json.dumps(data))
         # its normalizer lower-cases and leaves other printable ASCII as it is
         self.plain = Tokenizer.from_str(json.dumps(data | {"normalizer": None}))
-        self.ends = {c: array("I", self.plain.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
         self.words, self.ids = Numbers(), []
 
     def encode(self, values: list[str]) -> list[bytes]:
@@ -67,34 +66,15 @@ class WordIds:
         return [b"".join(map(ids, f)) for f in found]
 
     def learn(self) -> None:
-        """Encode the new words. Of printable ASCII the lower case is encoded, and letters apart from a full stop or comma
-        behind them, as the tokenizer parts them too: most such words are known or met twice then."""
-        known, ids, number = len(self.ids), self.ids, self.words.get
-        text = [w.decode() for w in self.words.new]
+        for some in batched(self.words.new, 5000):
+            text = [w.decode() for w in some]
+            plain = [t.isascii() and t.isprintable() and "<|" not in t for t in text]
+            for tokenizer, own in ((self.plain, True), (self.tokenizer, False)):
+                of = [i for i, p in enumerate(plain) if p is own]
+                for i, e in zip(of, tokenizer.encode_batch_fast([text[i].lower() if own else text[i] for i in of], add_special_tokens=False), strict=True):
+                    text[i] = array("I", e.ids).tobytes()
+            self.ids += text
         self.words.new.clear()
-        stems: list[tuple[bytes, str]] = []
-        ask: dict[bytes, str] = {}
-        for t in text:
-            end = ""
-            if t.isascii() and t.isprintable() and "<|" not in t:
-                t = t.lower()
-                if t[-1] in ".," and t[:-1].isalpha():
-                    t, end = t[:-1], t[-1]
-                key = b"1" + t.encode()
-            else:
-                key = b"0" + t.encode()
-            stems.append((key, end))
-            n = number(key[1:]) if key[0] == 49 else None
-            if n is None or n >= known:
-                ask[key] = t
-        found: dict[bytes, bytes] = {}
-        for tokenizer, kind in ((self.plain, 49), (self.tokenizer, 48)):
-            for some in batched((k for k in ask if k[0] == kind), 5000):
-                encoded = tokenizer.encode_batch_fast([ask[k] for k in some], add_special_tokens=False)
-                found.update((k, array("I", e.ids).tobytes()) for k, e in zip(some, encoded, strict=True))
-        ends = {"": b"", **self.ends}
-        for key, end in stems:
-            ids.append((found[key] if key in found else ids[number(key[1:])]) + ends[end])
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

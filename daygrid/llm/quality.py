@@ -8,9 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from daygrid.llm.common import BLANKS, alone, chunks, ddl, fields, flat_words, prepare, record, texts
+from daygrid.llm.common import BLANKS, alone, chunks, ddl, fields, flat_words, keep_rows, record, texts
 
 SYMBOLS = "#*$%&|<>"
 
@@ -137,18 +136,6 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     return texts(docs, id_col, text_col).mapInArrow(run, ddl(_OUT))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows whose text passes, with all their columns as they are."""
-
-    @F.pandas_udf("boolean")
-    def passes(values):
-        import pandas as pd
-
-        alone()
-        out = []
-        for part in chunks([pa.RecordBatch.from_arrays([pa.array(values.fillna(""), pa.string())], ["text"])]):
-            out.extend(measure(part.column(0).to_pylist(), rules)[-1].tolist())
-        return pd.Series(out, dtype="bool")
-
-    prepare(docs.sparkSession)
-    return docs.where(passes(F.col(f"`{text_col}`").cast("string")))
+    return keep_rows(docs, text_col, lambda values: measure(values, rules)[-1].tolist())

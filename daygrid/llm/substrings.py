@@ -312,16 +312,21 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     A text without repeats is untouched; of others the kept words are joined by one space, and the length is counted
     anew where the table has one; a text of which nothing is left goes.
     """
-    joined, text = _with_spans(docs, repeats(docs, window, id_col, text_col), id_col, text_col)
+    joined, _ = _with_spans(docs, repeats(docs, window, id_col, text_col), id_col, text_col)
+    at, length_at = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
 
-    @F.pandas_udf("string")
-    def kept(values, spans):
-        import pandas as pd
-
-        return pd.Series([v if s is None or not len(s) else b" ".join(kept_words(v.encode().split(), s, window)).decode() for v, s in zip(values, spans, strict=True)], dtype=object)
-
-    cut = F.col("s.spans").isNotNull()
-    rest = joined.withColumn("s_text", F.when(cut, kept(text, F.col("s.spans"))).otherwise(F.col(f"d.`{text_col}`")))
-    rest = rest.where(~cut | (F.col("s_text") != ""))
-    given = {text_col: F.col("s_text"), length_col: F.when(cut, F.length("s_text")).otherwise(F.col(f"d.`{length_col}`")) if length_col in docs.columns else None}
-    return rest.select(*((given[c].cast(docs.schema[c].dataType) if c in given else F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
+        for part in chunks(batches, at):
+            columns, names = part.columns[:-1], part.schema.names[:-1]
+            text, spans = columns[at].to_pylist(), part.columns[-1].to_pylist()
+            cut = [bool(s) for s in spans]
+            text = [b" ".join(kept_words(t.encode().split(), s, window)).decode() if c else t for t, s, c in zip(text, spans, cut, strict=True)]
+            columns[at] = pa.array(text, columns[at].type)
+            if length_at is not None:
+                old = columns[length_at].to_pylist()
+                columns[length_at] = pa.array([len(t) if c else n for t, n, c in zip(text, old, cut, strict=True)], columns[length_at].type)
+            stay = pa.array([not c or t != "" for t, c in zip(text, cut, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(stay)
+
+    return joined.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("s.spans").alias("removed spans")).mapInArrow(run, docs.schema)
