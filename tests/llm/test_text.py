@@ -128,6 +128,23 @@ def test_fingerprints(table, corpus):
     assert out[14]["near_edited"] > 0.5 and fingerprints.fingerprints(table([])).count() == 0
 
 
+def test_fingerprints_of_short_texts_and_long_words(table):
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(2000)]
+    line = lambda n: " ".join(r.choice(words, n))
+    signs = lambda n: "".join(chr(0x4E00 + k) for k in r.integers(0, 5000, n))
+    rows = [(n * 100 + k, line(n)) for n in (1, 3, 5, *range(8, 15), 40, 60) for k in range(10)]
+    rows += [(9000 + k, signs(n)) for k, n in enumerate((12, 30, 90, 400, 3000))] + [(9900, " \n"), (9901, None)]
+    out = {r["doc_id"]: r for r in fingerprints.fingerprints(table(rows)).collect()}
+    for i, v in rows:
+        assert bool(out[i]["fingerprint"]) == bool((v or "").split())
+        if len(v or "") > 11 and (v or "").split():
+            assert out[i]["near_next"] < 0.3 and 0 < out[i]["near_edited"] < 0.9
+    # a text of many words, edited by a short one, is compared with what is left of it by words
+    mixed = fingerprints.fingerprints(table([(2, line(33)), (1, "x")])).where("doc_id = 2").first()
+    assert mixed["n_chars"] >= 200 and 0.5 < mixed["near_edited"] < 1
+
+
 def test_sharding_table_by_turns():
     def brute(shards, size):
         orders = []
