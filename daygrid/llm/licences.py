@@ -32,6 +32,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 NONE = "none"
 UNKNOWN = "unknown"
 WORD = re.compile(r"[^\s.,;:()\[\]\"'!?<>]+(?:[.\-:/][^\s.,;:()\[\]\"'!?<>]+)*")
+#: What may stand around a line's words in a comment.
+SIGNS = BLANKS + "/*#;%!|<>+=~-"
+#: Words before and after the end of a line that are read together, for notices that go on in the next lines.
+REACH = 32
 #: Words whose numbers a worker keeps.
 CACHED = 300_000
 
@@ -79,10 +83,17 @@ class Classifier:
         self.weights, self.bias = np.zeros((len(self.grams), len(self.labels))), np.zeros(len(self.labels))
         self.heat = 1.0
         self.seen: dict[str, tuple[int, ...]] = {}
-        self.templates = {f: [set(zip(w, w[1:], strict=False)) for w in map(words_of, ts)] for f, ts in TEMPLATES.items()}
+        self.templates = {f: [self.pairs([self.words[w] for w in words_of(t)]) for t in ts] for f, ts in TEMPLATES.items()}
+        self.known_pairs = np.array(sorted(set().union(*(t for ts in self.templates.values() for t in ts))), np.int64)
+
+    def pairs(self, row: list[int]) -> set[int]:
+        """Keys of neighbouring words, both of which some template has."""
+        return {a * self.base + b for a, b in zip(row, row[1:], strict=False) if a and b}
 
     def numbers(self, text: str) -> list[int]:
         """Numbers of a paragraph's words in order, 0 for those that no template has."""
+        if len(self.seen) > CACHED:
+            self.seen.clear()
         out: list[int] = []
         for raw in text.split():
             if raw not in self.seen:
@@ -90,11 +101,8 @@ class Classifier:
             out += self.seen[raw]
         return out
 
-    def shared(self, paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(paragraph, n-gram) pairs, each once."""
-        if len(self.seen) > CACHED:
-            self.seen.clear()
-        rows = [self.numbers(p) for p in paragraphs]
+    def shared(self, rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(paragraph, n-gram) pairs, each once, of paragraphs as numbers."""
         size = np.array([len(r) for r in rows], np.int64)
         ids = np.fromiter((i for r in rows for i in r), np.int64, int(size.sum()))
         owner = np.repeat(np.arange(len(rows)), size)
@@ -113,17 +121,16 @@ class Classifier:
         both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return both // len(self.grams), both % len(self.grams)
 
-    def probabilities(self, paragraphs: list[str]) -> np.ndarray:
-        row, gram = self.shared(paragraphs)
-        scores = np.tile(self.bias, (len(paragraphs), 1))
+    def probabilities(self, rows: list[list[int]]) -> np.ndarray:
+        row, gram = self.shared(rows)
+        scores = np.tile(self.bias, (len(rows), 1))
         np.add.at(scores, row, self.weights[gram])
         scores = np.exp((scores - scores.max(axis=1, keepdims=True)) / self.heat)
         return scores / scores.sum(axis=1, keepdims=True)
 
-    def likeness(self, family: str, paragraph: str) -> float:
+    def likeness(self, family: str, row: list[int]) -> float:
         """The largest share of a template's word pairs that the paragraph has."""
-        w = words_of(paragraph)
-        own = set(zip(w, w[1:], strict=False))
+        own = self.pairs(row)
         return max(len(t & own) / len(t) for t in self.templates[family])
 
     def fit(self, negatives: list[str]) -> Classifier:
@@ -148,7 +155,7 @@ class Classifier:
             gold.append(1)
         y = np.array(gold)
         held = rng.random(len(rows)) < 0.25
-        row, gram = self.shared(rows)
+        row, gram = self.shared([self.numbers(r) for r in rows])
         x = np.zeros((len(rows), len(self.grams)))
         x[row, gram] = 1
         share = 1 / np.maximum(np.bincount(y, minlength=len(self.labels)), 1)[y] ** 0.5
@@ -174,22 +181,75 @@ class Classifier:
             self.heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
         return self
 
+    def windows(self, ids: np.ndarray, starts: np.ndarray, block: np.ndarray) -> list[tuple[int, int, int]]:
+        """(line, from, to): words around the end of a line that has a template's pair of words, where one more stands in
+        the lines after it. Lines of different blocks are never read together. What is left out has no two pairs of
+        words, or no more than a line by itself or a later window, so no template could confirm it."""
+        if len(ids) < 2:
+            return []
+        line = np.repeat(np.arange(len(block)), np.diff(starts))
+        pair = (ids[:-1] > 0) & (ids[1:] > 0) & (block[line[:-1]] == block[line[1:]]) & np.isin(ids[:-1] * self.base + ids[1:], self.known_pairs)
+        count = np.r_[0, np.cumsum(pair)]
+        last = np.searchsorted(block, block, side="right")
+        end = starts[1:]
+        to, begin = np.minimum(starts[last], end + REACH), np.maximum(starts[:-1], end - REACH)
+        before = lambda at: count[np.clip(at, 0, len(count) - 1)]
+        total, own, first = before(to - 1) - before(begin), before(np.maximum(end - 1, begin)) - before(begin), before(end) - before(begin)
+        chosen = np.flatnonzero((to > end) & (total > 1) & (total > own) & (first > 0))
+        return list(zip(chosen.tolist(), begin[chosen].tolist(), to[chosen].tolist(), strict=True))
+
+    def settle(self, p: np.ndarray, row: list[int]) -> tuple[bool, float, str] | None:
+        """Whether a template confirms it, how probable it is, and the family, of a paragraph that has a licence."""
+        k = int(p.argmax())
+        if self.labels[k] == NONE:
+            return None
+        prob = float(p[k])
+        family = self.labels[k] if prob >= self.plan.least else UNKNOWN
+        sure = family != UNKNOWN and self.likeness(family, row) >= self.plan.confirm
+        return sure, prob, family if sure else UNKNOWN
+
     def scan(self, values: list[str]) -> list[tuple]:
         """For each text its paragraphs, those with a licence, the confirmed families, and the most probable one."""
-        lines = [[x for x in v.split("\n") if x.strip(BLANKS)] for v in values]
-        p = self.probabilities([x for ls in lines for x in ls])
-        best, at, out = p.argmax(axis=1), 0, []
-        for ls in lines:
-            found = []
-            for i in np.flatnonzero(best[at : at + len(ls)]).tolist():
-                k, prob = int(best[at + i]), float(p[at + i, best[at + i]])
-                family = self.labels[k] if prob >= self.plan.least else UNKNOWN
-                sure = family != UNKNOWN and self.likeness(family, ls[i]) >= self.plan.confirm
-                found.append((sure, prob, family if sure else UNKNOWN))
-            at += len(ls)
-            top = max(found, default=None)
-            names = sorted({f for sure, _, f in found if sure})
-            out.append((len(ls), len(found), ",".join(names), top[2] if top else None, top[1] if top else 0.0, bool(top and top[0])))
+        lines, block, counts, b = [], [], [], 0
+        for v in values:
+            counts.append(-len(lines))
+            b += 1
+            for x in v.split("\n"):
+                bare = x.strip(SIGNS)
+                if not bare:  # a blank line, or one of signs only
+                    b += 1
+                if x.strip(BLANKS):
+                    lines.append(bare)
+                    block.append(b)
+            counts[-1] += len(lines)
+        rows = [self.numbers(x) for x in lines]
+        starts = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum([len(r) for r in rows], out=starts[1:])
+        ids = np.fromiter((i for r in rows for i in r), np.int64, int(starts[-1]))
+        windows = self.windows(ids, starts, np.array(block, np.int64))
+        found: list[list[tuple]] = [[] for _ in values]
+        text = np.repeat(np.arange(len(values)), counts)
+        p = self.probabilities(rows)
+        for i in np.flatnonzero(p.argmax(axis=1)).tolist():
+            found[text[i]].append((*self.settle(p[i], rows[i]), i, i))
+        wrapped = []
+        for q, (i, a, z) in zip(self.probabilities([ids[a:z].tolist() for _, a, z in windows]), windows, strict=True):
+            if got := self.settle(q, ids[a:z].tolist()):
+                at = a + np.arange(z - a - 1)
+                if got[0]:  # only the lines with the template's words
+                    at = at[np.isin(ids[at] * self.base + ids[at + 1], list(set().union(*self.templates[got[2]])))]
+                wrapped.append((*got, *(int(np.searchsorted(starts, k, side="right")) - 1 for k in (at[0], at[-1] + 1)), int(text[i])))
+        for sure, prob, family, lo, hi, t in sorted(wrapped, key=lambda w: (-w[0], -w[1], w[3])):
+            meets = [f for f in found[t] if f[3] <= hi and f[4] >= lo]
+            if sure and not any(f[0] and f[2] == family for f in meets):
+                found[t] = [f for f in found[t] if f[0] or f not in meets] + [(sure, prob, family, lo, hi)]
+            elif not sure and not meets:
+                found[t].append((sure, prob, family, lo, hi))
+        out = []
+        for n, each in zip(counts, found, strict=True):
+            top = max((f[:3] for f in each), default=None)
+            names = sorted({f[2] for f in each if f[0]})
+            out.append((n, len(each), ",".join(names), top[2] if top else None, top[1] if top else 0.0, bool(top and top[0])))
         return out
 
 
@@ -199,13 +259,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan:
     lines = lines.select(F.explode(F.split("text", "\n")).alias("line"), F.xxhash64("doc_id").alias("h")).where("trim(line) <> ''")
     found = [r["line"] for r in lines.orderBy("h", F.xxhash64("line"), "line").limit(plan.paragraphs).select(F.substring("line", 1, 4000).alias("line")).collect()]
     model = Classifier(plan)
-    return model.fit([x for x in found if max(model.likeness(f, x) for f in TEMPLATES) < 0.3])
+    return model.fit([x for x in found if max(model.likeness(f, model.numbers(x)) for f in TEMPLATES) < 0.3])
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Classifier | None = None) -> DataFrame:
     """Licence families of every whole text, one row per input row, without a shuffle of texts.
 
-    `families` are those that a paragraph (a line with a word) is predicted to have and a template confirms; `licence`
+    A paragraph is a line with a word; a notice that goes on in the next lines (up to a blank one, comment signs aside)
+    is read over them and counts as one with a licence, in place of its lines.
+    `families` are those that a paragraph is predicted to have and a template confirms; `licence`
     is the most probable of them, `unknown` where the classifier sees a licence that no template confirms, else null.
     A null or empty text has no paragraphs; null ids stay null; repeated rows give repeated results; an empty table no
     rows; other columns are not read.

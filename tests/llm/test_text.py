@@ -280,3 +280,32 @@ def test_licences(table, corpus):
     assert out[102]["licence"] in ("unknown", None) and out[104]["families"] == "" and out[1]["licence"] is None
     assert all(out[i]["families"] == "" for i, *_ in corpus if i not in (None, 14))
     assert licences.licences(table([])).count() == 0
+
+
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice.
+# 2. Redistributions in binary form must reproduce the above copyright notice.
+# 3. Neither the name of the copyright holder nor the names of its contributors
+#    may be used to endorse or promote products derived from this software."""
+APACHE = """// Licensed under the
+// Apache License,
+// Version 2.0 (the "License"); you may not use
+// this file except in compliance with the License."""
+
+
+def notices(table, corpus, rows):
+    return {r["doc_id"]: r for r in licences.licences(table([*[r for r in corpus if r[0] != 14], *rows])).collect()}
+
+
+def test_wrapped_licences(table, corpus):
+    line = dict(corpus)[6]
+    out = notices(table, corpus, [(200, GPL), (201, f"{line}\n{BSD}\n{line}"), (202, APACHE), (203, "it is licensed under\n\nthe MIT\n\nlicense"), (204, f"{line}\n{line}")])
+    assert [out[k]["families"] for k in (201, 202)] == ["bsd-3-clause", "apache-2.0"]
+    assert all(out[k]["confirmed"] for k in (200, 201, 202)) and out[200]["n_paragraphs"] == 4
+    assert out[203]["families"] == out[204]["families"] == ""
