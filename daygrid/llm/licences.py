@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +23,26 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "cc-by-nc-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"),
     "cc-by-sa-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0"),
     "cc0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights to this work", "Released under CC0 1.0 Universal"),
-    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"),
+    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+                "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
+    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+                "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     "lgpl-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     "mit": ("Released under the MIT License", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0"),
 }
+# Notices of licences that are no family here, though most of their words are those of one.
+SIBLINGS = (
+    "This work is licensed under the GNU Affero General Public License, version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "This library is licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "Licensed under CC BY-ND 4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "Licensed under CC BY-NC-ND 4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "Licensed under CC BY-NC-SA 4.0",
+    "Released under the BSD 2-Clause License", "Released under the MIT No Attribution License", "Licensed under the Apache License, Version 1.1", "Licensed under the Mozilla Public License 1.1",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+)
+#: Families that differ by few words: the classifier tells the group, those words the family.
+GROUPS = (("gpl-2.0", "gpl-3.0", "lgpl-3.0"), ("cc-by-4.0", "cc-by-nc-4.0", "cc-by-sa-4.0"))
 NONE = "none"
 UNKNOWN = "unknown"
 WORD = re.compile(r"[^\s.,;:()\[\]\"'!?<>]+(?:[.\-:/][^\s.,;:()\[\]\"'!?<>]+)*")
@@ -57,6 +71,52 @@ class Training:
     confirm: float = 0.6
 
 
+_GNU = re.compile(r"\b(?:(affero|lesser|library) )?(?:gnu )?(?:(affero|lesser|library) )?general public licen[sc]e|\b([al]?)gpl")
+_VERSION = re.compile(r"(?<![\w.])(?:version |licen[sc]e[ -]|gpl[ -]?|apache[ -])?v?[. -]?(\d+(?:\.\d+)*)(?!\w)")
+_CC = re.compile(r"\bcreative commons attribution|\bcc[ -]by\b|\blicenses/by\b|\battribution\b")
+_FLAG = re.compile(r"(?<![a-z])(?:(nc|non-?commercial|non commercial)|(sa|share-?alike|share alike)|(nd|no-?deriv\w*|no deriv\w*))(?![a-z])")
+_CLAUSES = re.compile(r"\bbsd[ -](\w+)[ -]clause|\b(\w+)[ -]clause bsd")
+
+
+def version(text: str, at: int = 0) -> str:
+    """The first number from there on, without closing zeros."""
+    m = _VERSION.search(text, at)
+    return re.sub(r"(\.0)+$", "", m[1]) if m else ""
+
+
+def agrees(family: str, text: str, whole: str) -> bool:
+    """Whether the words that set a family apart from its siblings (version, kind, clauses) are those of the paragraph,
+    given as words with single blanks. The clauses of a licence text may stand in other paragraphs, so `whole` has all words."""
+    if family in GROUPS[0]:
+        m = _GNU.search(text)
+        kind = "" if not m else (m[1] or m[2] or {"a": "affero", "l": "lesser"}.get(m[3] or "", ""))
+        return m is not None and kind == ("lesser" if family == "lgpl-3.0" else "") and version(text, m.end()) == family.split("-")[1][0]
+    if family in GROUPS[1]:
+        m = _CC.search(text)
+        number = _VERSION.search(text, m.end()) if m else None
+        if not number:
+            return False
+        flags = {n for f in _FLAG.finditer(text[m.start() : number.start()]) for n, x in zip(("nc", "sa", "nd"), f.groups(), strict=True) if x}
+        return flags == set(family.split("-")[2:-1]) and version(text, m.end()) == "4"
+    if family == "apache-2.0":
+        m = re.search(r"\bapache\b", text)
+        return m is not None and version(text, m.end()) == "2"
+    if family == "mpl-2.0":
+        m = re.search(r"\bmozilla public licen[sc]e|\bmpl\b", text)
+        return m is not None and version(text, m.end()) == "2"
+    if family == "cc0-1.0":
+        m = re.search(r"\bcc0\b", text)
+        return "waived all copyright" in text or m is not None and version(text, m.end()) == "1"
+    if family == "bsd-3-clause":
+        m = _CLAUSES.search(text)
+        if m:
+            return (m[1] or m[2]) in ("3", "three")
+        return re.search(r"\bneither the names? of\b.*\bendorse or promote\b", whole) is not None and "advertising materials" not in whole
+    if family == "mit":
+        return re.search(r"\bmit (no attribution|zero)\b|\bmit-0\b", text) is None and re.search(r"\bmit[ -]licen[sc]e\b|to any person obtaining a copy of this software and associated\b", text) is not None
+    return "all rights reserved" in text
+
+
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -74,7 +134,7 @@ class Classifier:
     def __init__(self, plan: Training):
         self.plan = plan
         self.labels = [NONE, UNKNOWN, *TEMPLATES]
-        self.grams = {g: i for i, g in enumerate(sorted({g for ts in TEMPLATES.values() for t in ts for g in ngrams(words_of(t))}))}
+        self.grams = {g: i for i, g in enumerate(sorted({g for ts in (*TEMPLATES.values(), SIBLINGS) for t in ts for g in ngrams(words_of(t))}))}
         self.words = {w: i + 1 for i, w in enumerate(sorted({w for g in self.grams for w in g}))}
         base = self.base = len(self.words) + 1
         key = np.array([sum(self.words[w] * base ** (2 - i) for i, w in enumerate(g)) for g in self.grams], np.int64)
@@ -138,7 +198,7 @@ class Classifier:
         rows, gold = list(negatives), [0] * len(negatives)
         filler = [w for n in negatives for w in words_of(n)] or ["a"]
         unlike = [words_of(t) for ts in TEMPLATES.values() for t in ts]
-        for k, (_, ts) in enumerate(TEMPLATES.items()):
+        for k, ts in enumerate((SIBLINGS, *TEMPLATES.values())):
             for t in ts:
                 words = words_of(t)
                 for c in range(self.plan.copies):
@@ -146,7 +206,7 @@ class Classifier:
                     around = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, 12))]
                     cut = int(rng.integers(0, len(around) + 1))
                     rows.append(" ".join(around[:cut] + kept + around[cut:]))
-                    gold.append(k + 2)
+                    gold.append(k + 1)
         # the unknown class: licence language of no family, from the words of all templates without their order
         for _ in range(self.plan.copies * 6):
             a = unlike[int(rng.integers(0, len(unlike)))]
@@ -198,15 +258,19 @@ class Classifier:
         chosen = np.flatnonzero((to > end) & (total > 1) & (total > own) & (first > 0))
         return list(zip(chosen.tolist(), begin[chosen].tolist(), to[chosen].tolist(), strict=True))
 
-    def settle(self, p: np.ndarray, row: list[int]) -> tuple[bool, float, str] | None:
-        """Whether a template confirms it, how probable it is, and the family, of a paragraph that has a licence."""
+    def settle(self, p: np.ndarray, row: list[int], words: Callable[[], list[str]], whole: Callable[[], str]) -> tuple[bool, float, str] | None:
+        """Whether a template and the words that set the family apart confirm it, how probable it is, and the family, of
+        a paragraph that has a licence. Siblings count together; among them those words decide."""
         k = int(p.argmax())
         if self.labels[k] == NONE:
             return None
-        prob = float(p[k])
-        family = self.labels[k] if prob >= self.plan.least else UNKNOWN
-        sure = family != UNKNOWN and self.likeness(family, row) >= self.plan.confirm
-        return sure, prob, family if sure else UNKNOWN
+        group = next((g for g in GROUPS if self.labels[k] in g), (self.labels[k],))
+        prob = float(sum(p[self.labels.index(f)] for f in group))
+        if self.labels[k] != UNKNOWN and prob >= self.plan.least:
+            for f in group:
+                if self.likeness(f, row) >= self.plan.confirm and agrees(f, " ".join(words()), whole()):
+                    return True, prob, f
+        return False, prob, UNKNOWN
 
     def scan(self, values: list[str]) -> list[tuple]:
         """For each text its paragraphs, those with a licence, the confirmed families, and the most probable one."""
@@ -229,12 +293,23 @@ class Classifier:
         windows = self.windows(ids, starts, np.array(block, np.int64))
         found: list[list[tuple]] = [[] for _ in values]
         text = np.repeat(np.arange(len(values)), counts)
+        first = np.r_[0, np.cumsum(counts)]
+        whole = lambda t: " ".join(w for x in lines[first[t] : first[t + 1]] for w in words_of(x))
+
+        def words(i: int, a: int, z: int) -> list[str]:
+            out: list[str] = []
+            for k in range(i, len(lines)):
+                if starts[k] >= z:
+                    break
+                out += [w for raw in lines[k].split() for w in words_of(raw)]
+            return out[a - starts[i] : z - starts[i]]
+
         p = self.probabilities(rows)
         for i in np.flatnonzero(p.argmax(axis=1)).tolist():
-            found[text[i]].append((*self.settle(p[i], rows[i]), i, i))
+            found[text[i]].append((*self.settle(p[i], rows[i], lambda i=i: words_of(lines[i]), lambda i=i: whole(text[i])), i, i))
         wrapped = []
         for q, (i, a, z) in zip(self.probabilities([ids[a:z].tolist() for _, a, z in windows]), windows, strict=True):
-            if got := self.settle(q, ids[a:z].tolist()):
+            if got := self.settle(q, ids[a:z].tolist(), lambda i=i, a=a, z=z: words(i, a, z), lambda i=i: whole(text[i])):
                 at = a + np.arange(z - a - 1)
                 if got[0]:  # only the lines with the template's words
                     at = at[np.isin(ids[at] * self.base + ids[at + 1], list(set().union(*self.templates[got[2]])))]
@@ -267,7 +342,8 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     A paragraph is a line with a word; a notice that goes on in the next lines (up to a blank one, comment signs aside)
     is read over them and counts as one with a licence, in place of its lines.
-    `families` are those that a paragraph is predicted to have and a template confirms; `licence`
+    `families` are those that a paragraph is predicted to have and a template confirms, together with the words that set the family apart (version,
+    lesser or affero, clauses and the like); `licence`
     is the most probable of them, `unknown` where the classifier sees a licence that no template confirms, else null.
     A null or empty text has no paragraphs; null ids stay null; repeated rows give repeated results; an empty table no
     rows; other columns are not read.

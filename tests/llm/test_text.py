@@ -309,3 +309,15 @@ def test_wrapped_licences(table, corpus):
     assert [out[k]["families"] for k in (201, 202)] == ["bsd-3-clause", "apache-2.0"]
     assert all(out[k]["confirmed"] for k in (200, 201, 202)) and out[200]["n_paragraphs"] == 4
     assert out[203]["families"] == out[204]["families"] == ""
+
+
+def test_sibling_licences_are_not_confirmed(table, corpus):
+    others = ["This work is licensed under the GNU Affero General Public License, version 3", GPL.replace("GNU", "GNU Affero"), GPL.replace("GNU", "GNU Lesser").replace("version 3", "version 2.1"),
+              "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "Licensed under CC BY-NC-SA 4.0", "Licensed under CC BY 3.0",
+              BSD[: BSD.index("# 3.")], "Released under the BSD 2-Clause License", "Licensed under the Apache License, Version 1.1", "Licensed under the Mozilla Public License 1.1",
+              "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"]
+    own = [(GPL, "gpl-3.0"), (GPL.replace("version 3", "version 2"), "gpl-2.0"), (GPL.replace("GNU", "GNU Lesser"), "lgpl-3.0"), (BSD, "bsd-3-clause"), ("Released under the BSD 3-Clause License", "bsd-3-clause"), (APACHE, "apache-2.0"),
+           *[(t, f) for f, ts in licences.TEMPLATES.items() for t in ts if f in ("cc-by-4.0", "cc-by-nc-4.0", "cc-by-sa-4.0", "gpl-2.0", "gpl-3.0", "mpl-2.0", "mit", "cc0-1.0", "all-rights-reserved")]]
+    out = notices(table, corpus, [*[(300 + k, t) for k, t in enumerate(others)], *[(400 + k, t) for k, (t, _) in enumerate(own)]])
+    assert [(k, out[300 + k]["families"]) for k in range(len(others)) if out[300 + k]["confirmed"] or out[300 + k]["families"]] == []
+    assert [(t, out[400 + k]["families"]) for k, (t, f) in enumerate(own) if out[400 + k]["families"] != f] == []
