@@ -15,7 +15,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a known language with a score of at least one half, as they are."""
+    """Rows whose words with a letter are labelled with a certainty of at least one half, in one language or several, as they are."""
     return language.keep_known(docs)
 
 

@@ -144,6 +144,23 @@ class Field:
         return pred, np.where(count > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0).tolist()
 
 
+    def certainty(self, values: list[str]) -> list[float]:
+        """How surely the words with a letter are labelled, whatever languages these are: the mean of each one's largest
+        probability. 0 where no word has a letter, 1 otherwise if there are no languages to tell apart."""
+        words, starts = flat_words(values)
+        total, count = (np.zeros(len(values)) for _ in range(2))
+        if words:
+            if self.langs:
+                rows = self.look_up(words)
+                letter, top = rows[:, -1], self.marginals(rows[:, :-1], starts)[0].max(axis=1)
+            else:
+                letter, top = np.array([LETTER.search(w.decode()) is not None for w in words], np.float32), np.ones(len(words), np.float32)
+            full = np.flatnonzero(np.diff(starts))
+            count[full] = np.add.reduceat(letter, starts[:-1][full], dtype=np.float64)
+            total[full] = np.add.reduceat(letter * top, starts[:-1][full], dtype=np.float64)
+        return np.clip(total / np.maximum(count, 1), 0, 1).tolist()
+
+
 def train(sample: list[tuple[str, str]], plan: Training = Training()) -> Field:
     """Fit the field to (language, words) by stochastic ascent on the likelihood of code-switched sequences.
 
@@ -242,10 +259,11 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text has a language with at least that score, with all their columns as they are."""
+    """The rows whose words are labelled with at least that certainty, with all their columns as they are: also those in
+    several languages. Texts without a letter go; without labelled rows to learn from all others stay."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
 
     def known(values: list[str]) -> list[bool]:
-        return [p != UNKNOWN and s >= least for p, s in zip(*model.value.predict(values), strict=True)]
+        return [0 < s >= least for s in model.value.certainty(values)]
 
     return keep_rows(docs, text_col, known)

@@ -133,3 +133,17 @@ def test_pipeline_stages_keep_columns(spark, table, corpus, tmp_path):
     assert set(range(100, 120)) <= set(seen["ngram_jaccard_join"]) and len(seen["substring_dedup"][203].split()) == 40
     assert seen["best_fit_packing"] == set(seen["substring_dedup"])
     assert {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length").collect()} == {tuple(r) for r in docs.select("doc_id", "piece", "length").collect()}
+
+
+def test_pipeline_keeps_code_switched_documents(spark, table):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    words = {lang: v.split() for lang, v in {"en": "the house and with this that were going through should", "de": "der hund und mit diese nicht werden gegangen durch sollte", "fr": "le chien avec cette pas seront parti dans devrait nous"}.items()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    rows = [(i, text(lang, 40), lang) for i, lang in enumerate(["en", "de", "fr"] * 40)]
+    mixed = [(500, " ".join(text(*x) for x in (("en", 40), ("de", 35), ("fr", 25))), None), (501, " ".join(text(*x) for x in (("en", 48), ("de", 48), ("fr", 4))), None), (502, "12 34 !", None)]
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, table(rows + mixed), "").collect()}
+    assert {500, 501, *range(120)} <= kept and 502 not in kept
+    unlabelled = table([(i, v, None) for i, v, _ in rows + mixed] + [(600, None, None)])
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, unlabelled, "").collect()} == {500, 501, *range(120)}
