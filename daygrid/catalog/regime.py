@@ -113,8 +113,8 @@ SQL_RULES = {
     "purchases": ("I24", _E, "purchases_bn IS NOT NULL", 1, [("purchases_bn > 0.5", 2, 70, 25, 0, 5, 0), ("purchases_bn > 0", 1, 30, 55, 15, 0, 0), ("TRUE", 0, 0, 25, 60, 0, 15)]),
     "credit": ("I24", _E, "credit_bps IS NOT NULL", 1, [("credit_bps <= 25", 2, 60, 35, 0, 5, 0), ("credit_bps <= 100", 1, 0, 50, 30, 0, 20), ("TRUE", 0, 0, 20, 65, 0, 15)]),
 }
-for _w, _top in (("mstr", 1.2), ("bmnr", 1.15), ("purr", 1.15)):
-    SQL_RULES[f"mnav_{_w}"] = ("I23", _E, f"mnav_{_w} IS NOT NULL", 0, [(f"mnav_{_w} > 2", 2, 65, 25, 0, 10, 0), (f"mnav_{_w} > {_top}", 2, 65, 25, 0, 0, 0), (f"mnav_{_w} > 1", 1, 25, 55, 20, 0, 0), ("TRUE", 0, 0, 25, 60, 0, 15)])
+for _firm, _top in (("mstr", 1.2), ("bmnr", 1.15), ("purr", 1.15)):
+    SQL_RULES[f"mnav_{_firm}"] = ("I23", _E, f"mnav_{_firm} IS NOT NULL", 0, [(f"mnav_{_firm} > 2", 2, 65, 25, 0, 10, 0), (f"mnav_{_firm} > {_top}", 2, 65, 25, 0, 0, 0), (f"mnav_{_firm} > 1", 1, 25, 55, 20, 0, 0), ("TRUE", 0, 0, 25, 60, 0, 15)])
 
 
 def rule_sql(name: str) -> str:
