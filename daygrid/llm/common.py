@@ -25,8 +25,12 @@ BATCH_ROWS = 2000
 BLANKS = " \t\n\r\x0b\x0c"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def prepare(spark: SparkSession) -> None:
