@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrid.llm import bpe, fingerprints, jaccard, language, licences, lm, packing, quality, sharding, substrings, topk
+from daygrid.llm import bpe, fingerprints, jaccard, language, licences, lm, packing, quality, resample, sharding, substrings, topk
 from daygrid.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,25 @@ _TOP_SQL = """WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x:
 @query("op11_exact_top_k", _TOP_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+_RESAMPLE_SQL = """WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+    words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words, n
+        FROM (SELECT doc_id, text, row_number() OVER () AS n FROM documents UNION ALL SELECT NULL, text, 0 FROM benchmark)),
+    each AS (SELECT n, unnest(words) AS w FROM words),
+    codes AS (SELECT w, xor(list_reduce(list_transform(range(0, len(h), 2), lambda i: CAST('0x' || substr(h, i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+        FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM each)), steps),
+    counts AS (SELECT bucket, count(*) FILTER (n > 0) AS s, count(*) FILTER (n = 0) AS t FROM each JOIN codes USING (w) GROUP BY 1),
+    totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+    gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (s_all + 10000) / (CAST(s + 1 AS DOUBLE) * (t_all + 10000)))) AS BIGINT) AS g FROM counts, totals),
+    weights AS (SELECT n, CAST(floor(CAST(sum(g) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM each JOIN codes USING (w) JOIN gain USING (bucket) GROUP BY 1),
+    scored AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+        FROM words LEFT JOIN weights USING (n) WHERE n > 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS fit FROM scored)
+    SELECT doc_id, n_features AS n_words, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM ranked"""
+
+
+@query("op12_importance_resampling", _RESAMPLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
