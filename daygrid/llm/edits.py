@@ -1,8 +1,8 @@
 """Cheapest edits of a sequence of turns, by tables over blocks of symbols.
 
 A conversation's roles have to read `(s?(ua)+)?`. Costs of being in one of four states after each turn are a small vector;
-less their minimum there are only a few hundred different ones, so that what a block of turns does to each of them is
-looked up. Only vectors at block borders are kept; to read the edits, blocks are expanded again from the last to the first.
+less their minimum, and without states that others beat whatever follows, there are only a few dozen different ones, so that
+what a block of turns does to each of them is looked up. Only vectors at block borders are kept; to read the edits, blocks are expanded again from the last to the first.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ BLOCK = 4
 #: Symbols: role and whether the turn is cut off; a turn that has to go; no turn.
 GONE, NONE = 10, 11
 SYMBOLS = 12
-FAR = 10**9
+FAR = 10**15
 #: Letters of the instructions: keep, delete, make it a user's or an assistant's turn, insert one of them.
 KEEP, DROP, AS_USER, AS_ASSISTANT, NEW_USER, NEW_ASSISTANT, PASS = b"KDUAijP"
 
@@ -49,6 +49,17 @@ def inserting() -> np.ndarray:
     return product(one, one)
 
 
+def normal(vector: np.ndarray) -> tuple:
+    """Costs above the least one, and FAR for states that can't be on a cheapest way.
+
+    All that follows the first state also follows the last but for one kept system turn, which costs 2 to delete; all
+    that follows the second follows the last. So a state that costs more than that is beaten, however it goes on.
+    """
+    v = np.where(vector >= FAR // 2, FAR, vector - vector.min())
+    v[:2] = np.where(v[:2] > v[3] + np.array([DELETE, 0]), FAR, v[:2])
+    return tuple(v.tolist())
+
+
 def costs() -> tuple[np.ndarray, np.ndarray]:
     """Cost of keeping and of changing the role of a symbol's turn; FAR where there is no such edit."""
     keep, change = np.full(SYMBOLS, FAR), np.full(SYMBOLS, FAR)
@@ -88,7 +99,7 @@ class Tables:
             rows.append(v)
             made = [product(np.array(v), m) for m in matrices]
             least = [int(x.min()) for x in made]
-            norm = [tuple(np.where(x >= FAR // 2, FAR, x - a).tolist()) for x, a in zip(made, least, strict=True)]
+            norm = [normal(x) for x in made]
             following.append((norm, least))
             queue.extend(norm)
         self.known, self.vectors = known, np.array(rows, np.int64)
@@ -254,5 +265,4 @@ def borders(matrices: list[np.ndarray]) -> tuple[list[tuple], list[list[bool]],
     for k in range(len(matrices) - 1, 0, -1):
         ahead = product(matrices[k], ahead[:, None])[:, 0]
         live.append((before[k] + ahead == total).tolist())
-    norm = [tuple(np.where(v >= FAR // 2, FAR, v - v.min()).tolist()) for v in before[:-1]]
-    return norm, live[::-1], total
+    return [normal(v) for v in before[:-1]], live[::-1], total

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrid.llm import bpe, fingerprints, jaccard, language, licences, lm, packing, quality, resample, sharding, substrings, topk
+from daygrid.llm import bpe, fingerprints, jaccard, language, licences, lm, packing, quality, repair, resample, sharding, substrings, topk
 from daygrid.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +141,8 @@ _RESAMPLE_SQL = """WITH steps AS (SELECT list_transform(range(256), lambda i: li
 @query("op12_importance_resampling", _RESAMPLE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.Repair(repair.damaged(repair.plain(table(spark, sf_dir, "conversations")))).report()
