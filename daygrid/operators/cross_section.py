@@ -53,16 +53,16 @@ def rank_z(df: DataFrame, value: str, by: list[str], out: str, max_names: int |
     Winsorising moves ranks only where at least two names lie beyond a cut,
     which needs more than 100 names, so smaller bounded groups skip it.
     """
-    src = value
-    if winsor and not (max_names is not None and max_names <= 100):
-        df, src = winsorise(df, value, by, "_w", max_names), "_w"
-    if fits_window(max_names):
-        ranked = df.withColumn(out, rank_z_column(src, by))
-    else:
+    if not fits_window(max_names):
         n = F.col("n_names")
         z = F.when(n >= SETTINGS.min_names_rank, F.try_divide(F.col("avg_rank") - (n + 1) / 2.0, F.sqrt((n * n - 1) / 12.0)))
-        ranked = ordered.average_ranks(df, by, src).withColumn(out, z).drop("avg_rank", "n_names")
-    return ranked.drop("_w")
+        ranked = (ordered.winsorised_ranks(df, by, value, SETTINGS.winsor_lower, SETTINGS.winsor_upper) if winsor
+                  else ordered.average_ranks(df, by, value))
+        return ranked.withColumn(out, z).drop("avg_rank", "n_names")
+    src = value
+    if winsor and max_names > 100:
+        df, src = winsorise(df, value, by, "_w", max_names), "_w"
+    return df.withColumn(out, rank_z_column(src, by)).drop("_w")
 
 
 def rank_ic(df: DataFrame, signal: str, ret: str, by: list[str], max_names: int | None = None) -> DataFrame:

@@ -6,6 +6,10 @@ aggregation; each group is then cut into value ranges at approximate
 quantiles, ranges are sorted in parallel, and the counts of the lower ranges
 are added as an offset.  The cut points only decide who sorts what: the
 resulting positions are exact whatever the sketch returns.
+
+Ranks and quantiles of rows (`placed`) need no merging and no join on values:
+rows are dealt by ranges of (group, value), each range is ranked by itself, and
+a table with a row per group and range brings the counts below it.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrid.config import SETTINGS
+from daygrid.sources.store import saved
 
 
 def cumulative_counts(df: DataFrame, by: list[str], value: str, ranges: int = SETTINGS.value_ranges) -> DataFrame:
@@ -50,13 +55,71 @@ def quantile_columns(value: str, qs: dict[str, float]) -> list[Column]:
     return out
 
 
+def placed(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Every row with `_below` (rows of its group under its value), `_ties` (with its value) and `_size` (with any).
+
+    The value's rows may fill several ranges (a hash of the row is part of the range key), so a date or a tie that
+    holds most rows spreads over tasks.  Only the first and last value of a range can go on in others; their
+    places come from the table of ranges, all others' from the range itself.  Null values, and rows of
+    a null group, have nulls.
+    """
+    salt = F.xxhash64(*[F.col(f"`{name}`") for name, kind in df.dtypes if not kind.startswith("map")])
+    ranged = df.repartitionByRange(*by, value, salt).withColumn("_range", F.spark_partition_id())
+    key = ["_range", *by]
+    rows = saved(ranged.withColumns({
+        "_upto": F.count(value).over(Window.partitionBy(*key).orderBy(value)), "_here": F.count(value).over(Window.partitionBy(*key, value)),
+    }), "ranges")
+    v = F.col(value)
+    ranges = rows.where(v.isNotNull()).groupBy(*key).agg(
+        F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.min_by("_here", v).alias("lo_ties"), F.max_by("_here", v).alias("hi_ties"))
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumns({"offset": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "_size": F.sum("n").over(group)})
+    end = lambda x, ties, start: F.struct(F.col(x).alias("v"), F.col(ties).alias("ties"), start.alias("start"))
+    first, last = end("lo", "lo_ties", F.col("offset")), end("hi", "hi_ties", F.col("offset") + F.col("n") - F.col("hi_ties"))
+    ends = ranges.select(*key, "offset", "_size", "lo", F.explode(F.when(F.col("lo") == F.col("hi"), F.array(first)).otherwise(F.array(first, last))).alias("e"))
+    same = Window.partitionBy(*by, "e.v")
+    ends = ends.withColumns({"start": F.min("e.start").over(same), "ties": F.sum("e.ties").over(same), "is_lo": F.col("e.v") == F.col("lo")})
+    pick = lambda c, lo: F.max(F.when(F.col("is_lo") == F.lit(lo), F.col(c)))
+    borders = ends.groupBy(*key).agg(
+        F.max("offset").alias("_offset"), F.max("_size").alias("_size"), F.max("lo").alias("_lo"), pick("start", True).alias("_lo_start"), pick("ties", True).alias("_lo_ties"),
+        pick("e.v", False).alias("_hi"), pick("start", False).alias("_hi_start"), pick("ties", False).alias("_hi_ties"))
+    at = lambda lo, hi, inside: F.when(v == F.col("_lo"), F.col(lo)).when(v == F.col("_hi"), F.col(hi)).when(v.isNotNull(), inside)
+    return rows.join(borders, key, "left").select(
+        *[F.col(f"`{c}`") for c in df.columns], at("_lo_start", "_hi_start", F.col("_offset") + F.col("_upto") - F.col("_here")).alias("_below"),
+        at("_lo_ties", "_hi_ties", F.when(F.col("_size").isNotNull(), F.col("_here"))).alias("_ties"), F.when(v.isNotNull(), F.col("_size")).alias("_size"))
+
+
+def _quantiles_of(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    counted = rows.where(F.col("_size").isNotNull()).select(*by, value, (F.col("_below") + F.col("_ties")).alias("upto"), F.col("_size").alias("n"))
+    return counted.groupBy(*by).agg(*quantile_columns(value, qs))
+
+
 def group_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    return cumulative_counts(df, by, value).groupBy(*by).agg(*quantile_columns(value, qs))
+    return _quantiles_of(placed(df.select(*by, value), by, value), by, value, qs)
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, rank: str = "avg_rank", size: str = "n_names") -> DataFrame:
     """Average rank (1-based, ties share) of `value` within `by`, null for null."""
-    ranks = cumulative_counts(df, by, value).select(
-        *by, value, (F.col("upto") - (F.col("ties") - 1) / 2.0).alias(rank), F.col("n").alias(size)
+    return (
+        placed(df, by, value)
+        .withColumns({rank: F.col("_below") + (F.col("_ties") + 1) / 2.0, size: F.col("_size")})
+        .drop("_below", "_ties", "_size")
+    )
+
+
+def winsorised_ranks(df: DataFrame, by: list[str], value: str, lower: float, upper: float, rank: str = "avg_rank", size: str = "n_names") -> DataFrame:
+    """Average ranks of `value` clipped to two quantiles of its group, from one ranking of the unclipped values.
+
+    Clipping only makes ties of the rows up to the lower cut and of those from the upper one; their numbers
+    are a second aggregate over the same written rows.
+    """
+    rows, v = placed(df, by, value), F.col(value)
+    cut = rows.join(_quantiles_of(rows, by, value, {"_q0": lower, "_q1": upper}), by, "left")
+    ends = cut.groupBy(*by).agg(F.count_if(v <= F.col("_q0")).alias("_low"), F.count_if(v >= F.col("_q1")).alias("_high"), F.max("_q0").alias("_q0"), F.max("_q1").alias("_q1"))
+    n = F.col("_size")
+    clipped = (
+        F.when(F.col("_q0") == F.col("_q1"), (n + 1) / 2.0).when(v <= F.col("_q0"), (F.col("_low") + 1) / 2.0)
+        .when(v >= F.col("_q1"), n - (F.col("_high") - 1) / 2.0).otherwise(F.col("_below") + (F.col("_ties") + 1) / 2.0)
     )
-    return df.join(ranks, [*by, value], "left")
+    return rows.join(ends, by, "left").withColumns({rank: F.when(v.isNotNull(), clipped), size: n}).drop("_below", "_ties", "_size", "_low", "_high", "_q0", "_q1")

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from daygrid.operators import cross_section as X
 from daygrid.operators import ordered
@@ -73,3 +74,33 @@ def test_pairwise_spearman_matches_pandas(spark):
     want = pdf[["a", "b", "c"]].rank().corr()
     for r in got.itertuples():
         assert abs(r.corr - want.loc[r.left_signal, r.right_signal]) < 1e-12
+
+
+def test_a_hot_tie_spreads_over_ranges_and_ranks_stay_exact(spark):
+    rng = np.random.default_rng(8)
+    n = 20_000
+    pdf = pd.DataFrame({"id": range(n), "g": np.where(rng.random(n) < 0.8, "hot", "b"), "v": np.where(rng.random(n) < 0.6, 1.0, rng.integers(-3, 6, n).astype(float))})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(pdf)
+        ranged = df.repartitionByRange("g", "v", F.xxhash64("id", "g", "v")).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        got = ordered.average_ranks(df, ["g"], "v").toPandas().sort_values("id")
+        low = ordered.winsorised_ranks(df, ["g"], "v", 0.02, 0.9).toPandas().sort_values("id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranged.max() < 0.4 * n
+    np.testing.assert_allclose(got["avg_rank"].to_numpy(), pdf.groupby("g")["v"].rank().to_numpy())
+    assert (got["n_names"].to_numpy() == pdf.groupby("g")["v"].transform("count").to_numpy()).all()
+    clipped = pdf.groupby("g")["v"].transform(lambda s: s.clip(s.quantile(0.02), s.quantile(0.9)))
+    np.testing.assert_allclose(low["avg_rank"].to_numpy(), clipped.groupby(pdf.g).rank().to_numpy())
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, 3.0, 4.0], [5.0] * 9, [1.0, None, None], [None], [1.0, 1.0, 2.0, 2.0, 2.0, 9.0, None]])
+def test_small_groups_nulls_and_null_groups(spark, values):
+    df = spark.createDataFrame([(i, "a", v) for i, v in enumerate(values)] + [(100, None, 1.0)], "id int, g string, v double")
+    want = pd.Series(values, dtype=float)
+    for got, ranks in ((ordered.average_ranks(df, ["g"], "v"), want.rank()),
+                       (ordered.winsorised_ranks(df, ["g"], "v", 0.2, 0.7), want.clip(want.quantile(0.2), want.quantile(0.7)).rank())):
+        pdf = got.toPandas().set_index("id").sort_index()
+        np.testing.assert_allclose(pdf["avg_rank"].astype(float).to_numpy()[:-1], ranks.to_numpy())
+        assert pd.isna(pdf.loc[100, "avg_rank"])
