@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ("P03_align_panel", "P19_breakdown_to_panel", "P22_klines", "X01_winsorise_split_groups", "X04_rank_ic", "F10_mc_fees_reversion", "F16_growth_composite", "M04_momentum_breadth", "L01_stablecoin_growth",
-          "C04_regime_composite", "G06_apply_to_composite", "E09_asset_frame", "E13_match_market_data", "S12_histogram", "V02_unlock_events", "V10_ytd_to_quarter", "V28_year_over_year", "J08_as_of_backward")
+          "C04_regime_composite", "I28_classifier", "G06_apply_to_composite", "E09_asset_frame", "E13_match_market_data", "S12_histogram", "V02_unlock_events", "V10_ytd_to_quarter", "V28_year_over_year", "J08_as_of_backward")
 
 
 @pytest.fixture(scope="module")
