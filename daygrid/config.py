@@ -14,6 +14,8 @@ class Settings:
     # using one window partition per date and split each date into value ranges
     window_names_limit: int = 500_000
     value_ranges: int = 64
+    # rows that one task sorts when groups are split into ranges
+    range_rows: int = 200_000
     winsor_lower: float = 0.01
     winsor_upper: float = 0.99
     min_names_rank: int = 3

@@ -55,21 +55,23 @@ def quantile_columns(value: str, qs: dict[str, float]) -> list[Column]:
     return out
 
 
-def placed(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def placed(df: DataFrame, by: list[str], value: str, keep: list[str] | None = None) -> DataFrame:
     """Every row with `_below` (rows of its group under its value), `_ties` (with its value) and `_size` (with any).
 
+    A range holds about `Settings.range_rows` rows and is one task, so more rows make more ranges, not larger sorts.
     The value's rows may fill several ranges (a hash of the row is part of the range key), so a date or a tie that
     holds most rows spreads over tasks.  Only the first and last value of a range can go on in others; their
     places come from the table of ranges, all others' from the range itself.  Null values, and rows of
-    a null group, have nulls.
+    a null group, have nulls.  With `keep`, only these columns are returned; the others still tell rows of a tie apart.
     """
-    salt = F.xxhash64(*[F.col(f"`{name}`") for name, kind in df.dtypes if not kind.startswith("map")])
-    ranged = df.repartitionByRange(*by, value, salt).withColumn("_range", F.spark_partition_id())
-    key = ["_range", *by]
-    rows = saved(ranged.withColumns({
-        "_upto": F.count(value).over(Window.partitionBy(*key).orderBy(value)), "_here": F.count(value).over(Window.partitionBy(*key, value)),
-    }), "ranges")
-    v = F.col(value)
+    keep = df.columns if keep is None else keep
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name, kind in df.dtypes if not kind.startswith("map")]), F.lit(1 << 15)).cast("short")
+    n = max(1, -(-df.count() // SETTINGS.range_rows))
+    ranged = df.select(*[F.col(f"`{c}`") for c in keep], salt.alias("_salt")).repartitionByRange(n, *by, value, "_salt").drop("_salt").withColumn("_range", F.spark_partition_id())
+    key, v = ["_range", *by], F.col(value)
+    order = Window.partitionBy(*key).orderBy(v.asc_nulls_last())
+    counted = ranged.repartitionById(n, F.col("_range")).withColumns({"_first": F.rank().over(order), "_upto": F.count(v).over(order)})
+    rows = saved(counted.withColumn("_here", F.when(v.isNotNull(), F.col("_upto") - F.col("_first") + 1)).drop("_first"), "ranges")
     ranges = rows.where(v.isNotNull()).groupBy(*key).agg(
         F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.min_by("_here", v).alias("lo_ties"), F.max_by("_here", v).alias("hi_ties"))
     group = Window.partitionBy(*by)
@@ -81,22 +83,24 @@ def placed(df: DataFrame, by: list[str], value: str) -> DataFrame:
     same = Window.partitionBy(*by, "e.v")
     ends = ends.withColumns({"start": F.min("e.start").over(same), "ties": F.sum("e.ties").over(same), "is_lo": F.col("e.v") == F.col("lo")})
     pick = lambda c, lo: F.max(F.when(F.col("is_lo") == F.lit(lo), F.col(c)))
-    borders = ends.groupBy(*key).agg(
+    # written, so that its size is known before it is joined: small tables travel, the rows stay
+    borders = saved(ends.groupBy(*key).agg(
         F.max("offset").alias("_offset"), F.max("_size").alias("_size"), F.max("lo").alias("_lo"), pick("start", True).alias("_lo_start"), pick("ties", True).alias("_lo_ties"),
-        pick("e.v", False).alias("_hi"), pick("start", False).alias("_hi_start"), pick("ties", False).alias("_hi_ties"))
+        pick("e.v", False).alias("_hi"), pick("start", False).alias("_hi_start"), pick("ties", False).alias("_hi_ties")), "borders")
     at = lambda lo, hi, inside: F.when(v == F.col("_lo"), F.col(lo)).when(v == F.col("_hi"), F.col(hi)).when(v.isNotNull(), inside)
     return rows.join(borders, key, "left").select(
-        *[F.col(f"`{c}`") for c in df.columns], at("_lo_start", "_hi_start", F.col("_offset") + F.col("_upto") - F.col("_here")).alias("_below"),
+        *[F.col(f"`{c}`") for c in keep], at("_lo_start", "_hi_start", F.col("_offset") + F.col("_upto") - F.col("_here")).alias("_below"),
         at("_lo_ties", "_hi_ties", F.when(F.col("_size").isNotNull(), F.col("_here"))).alias("_ties"), F.when(v.isNotNull(), F.col("_size")).alias("_size"))
 
 
 def _quantiles_of(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """A row per group, written, so that joins know how small it is."""
     counted = rows.where(F.col("_size").isNotNull()).select(*by, value, (F.col("_below") + F.col("_ties")).alias("upto"), F.col("_size").alias("n"))
-    return counted.groupBy(*by).agg(*quantile_columns(value, qs))
+    return saved(counted.groupBy(*by).agg(*quantile_columns(value, qs)), "quantiles")
 
 
 def group_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    return _quantiles_of(placed(df.select(*by, value), by, value), by, value, qs)
+    return _quantiles_of(placed(df, by, value, [*by, value]), by, value, qs)
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, rank: str = "avg_rank", size: str = "n_names") -> DataFrame:
@@ -116,7 +120,7 @@ def winsorised_ranks(df: DataFrame, by: list[str], value: str, lower: float, upp
     """
     rows, v = placed(df, by, value), F.col(value)
     cut = rows.join(_quantiles_of(rows, by, value, {"_q0": lower, "_q1": upper}), by, "left")
-    ends = cut.groupBy(*by).agg(F.count_if(v <= F.col("_q0")).alias("_low"), F.count_if(v >= F.col("_q1")).alias("_high"), F.max("_q0").alias("_q0"), F.max("_q1").alias("_q1"))
+    ends = saved(cut.groupBy(*by).agg(F.count_if(v <= F.col("_q0")).alias("_low"), F.count_if(v >= F.col("_q1")).alias("_high"), F.max("_q0").alias("_q0"), F.max("_q1").alias("_q1")), "ends")
     n = F.col("_size")
     clipped = (
         F.when(F.col("_q0") == F.col("_q1"), (n + 1) / 2.0).when(v <= F.col("_q0"), (F.col("_low") + 1) / 2.0)

@@ -104,3 +104,18 @@ def test_small_groups_nulls_and_null_groups(spark, values):
         pdf = got.toPandas().set_index("id").sort_index()
         np.testing.assert_allclose(pdf["avg_rank"].astype(float).to_numpy()[:-1], ranks.to_numpy())
         assert pd.isna(pdf.loc[100, "avg_rank"])
+
+
+def test_more_rows_make_more_ranges_not_larger_ones(spark, tmp_path):
+    """Every range is a task of its own of a bounded number of rows, whatever the number of shuffle partitions."""
+    n = 1_000_000
+    df = spark.range(0, n, 1, 4).select("id", F.lit("hot").alias("g"), F.when(F.col("id") % 2 == 0, 0.0).otherwise((F.col("id") % 977).cast("double")).alias("v"))
+    written, saved = [], ordered.saved
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ordered, "saved", lambda frame, label: written.append((label, saved(frame, label))) or written[-1][1])
+        quantiles = ordered.group_quantiles(df, ["g"], "v", {"m": 0.75}).first()
+    rows = next(frame for label, frame in written if label == "ranges")
+    held = rows.groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.count_distinct("_range").alias("ranges")).toPandas()
+    assert held["n"].max() < 2 * 200_000 and len(held) == 5 and held["ranges"].max() == 1
+    odd = np.arange(1, n, 2) % 977
+    assert quantiles["m"] == np.quantile(np.concatenate([np.zeros(n // 2), odd]), 0.75)
