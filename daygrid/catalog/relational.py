@@ -93,9 +93,9 @@ def _(s, d):
 def _(s, d):
     """Pages are landed as one text file each, as a crawler leaves them, and read back as whole files."""
     path = scratch(s, "pages")
-    T.table(s, d, "pages").select("page_id", "html").repartition("page_id").sortWithinPartitions("page_id").write.option("lineSep", "\x00").partitionBy("page_id").text(path)
-    text = F.regexp_replace("text", "\x00$", "")
-    return files.read_texts(s, path).select(F.regexp_extract("path", "page_id=(\\d+)", 1).cast("bigint").alias("page_id"), F.length(text).cast("bigint").alias("n"))
+    files.write_texts(T.table(s, d, "pages"), path, "page_id", "html")
+    text = F.substr(F.col("text"), F.instr("text", "\n") + 1)
+    return files.read_texts(s, path).select(F.substring_index("text", "\n", 1).try_cast("bigint").alias("page_id"), F.length(text).cast("bigint").alias("n"))
 
 
 @simple("D09_column_projection", "SELECT s_suppkey, s_acctbal FROM supplier")

@@ -44,6 +44,18 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
     return table.where(F.col("version") == table.agg(F.max("version")).scalar()).drop("version")
 
 
+def write_texts(df: DataFrame, path: str, key: str, text: str, folders: int = 256) -> None:
+    """One text file per key: the key on the first line, its text below (texts of a repeated key end up in one file).
+
+    Files share a fixed number of folders and each folder has one writer, so neither the folders to list nor the
+    renames of the commit grow with the files.
+    """
+    dealt = df.select(F.pmod(F.xxhash64(key), F.lit(folders)).alias("folder"), key, text).repartition("folder")
+    page = F.array_join(F.collect_list(F.coalesce(text, F.lit(""))), "\x00")
+    whole = dealt.groupBy("folder", key).agg(page.alias("_page")).select("folder", F.concat_ws("\n", F.coalesce(F.col(key).cast("string"), F.lit("")), "_page").alias("value"))
+    whole.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages, one whole file per row."""
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    """Landed pages, one whole file per row, without the separator the writer ends them with."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\x00$", "").alias("text"), F.col("_metadata.file_path").alias("path"))

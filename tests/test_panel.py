@@ -111,3 +111,19 @@ def test_written_panel_prunes_months_and_versions(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "x.txt").write_text("one\ntwo")
     assert files.read_texts(spark, str(tmp_path / "t")).first()["text"] == "one\ntwo"
+
+
+def test_landed_pages_share_folders_and_come_back_whole(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    rows = [(i, None if i == 3 else f"<p>{i}\né</p>\n") for i in range(40)]
+    files.write_texts(spark.createDataFrame(rows, "id long, html string"), path, "id", "html", 4)
+    got = files.read_texts(spark, path).select("text", "path").collect()
+    assert sorted(r["text"] for r in got) == sorted(f"{i}\n{t or ''}" for i, t in rows)
+    assert len({r["path"] for r in got}) == 40 and len({r["path"].rsplit("/", 1)[0] for r in got}) <= 4
+
+
+def test_a_wide_panel_is_dealt_by_its_number_of_entities(spark):
+    daily = spark.createDataFrame([(f"e{i}", dt.date(2024, 1, 1 + i % 3), float(i)) for i in range(9)], "entity string, date date, m double")
+    narrow, wide = (P.densify(daily, daily.select("entity"), P.date_bounds(daily), ["m"], n) for n in (None, 5000))
+    assert wide.rdd.getNumPartitions() == 25
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.collect())) and wide.count() == 27
