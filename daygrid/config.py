@@ -16,6 +16,8 @@ class Settings:
     value_ranges: int = 64
     # rows that one task sorts when groups are split into ranges
     range_rows: int = 200_000
+    # entities of a wide panel per task of an entity or date window
+    names_per_task: int = 200
     winsor_lower: float = 0.01
     winsor_upper: float = 0.99
     min_names_rank: int = 3

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from daygrid.config import SETTINGS, VALUE_BUCKETS
 from daygrid.functions.rolling import DATE, ENTITY, chg, clip, corr_of, ratio, roll, roll_corr
 from daygrid.operators import ordered
+from daygrid.sources.store import by_names
 
 
 def fits_window(max_names: int | None) -> bool:
@@ -39,7 +40,7 @@ def winsorise(df: DataFrame, value: str, by: list[str], out: str, max_names: int
     qs = {name: q for name, q in (("_lo", lower), ("_hi", upper)) if q is not None}
     if fits_window(max_names):
         w = Window.partitionBy(*by)
-        cut = df.withColumns({name: F.percentile(value, F.lit(q)).over(w) for name, q in qs.items()})
+        cut = by_names(df, max_names, by).withColumns({name: F.percentile(value, F.lit(q)).over(w) for name, q in qs.items()})
     else:
         cut = df.join(ordered.group_quantiles(df, by, value, qs), by, "left")
     lo = F.col("_lo") if lower is not None else None

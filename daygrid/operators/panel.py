@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from daygrid.config import SETTINGS, Periods
 from daygrid.functions.rolling import DATE, ENTITY, by_entity, ffill, lag, ratio
+from daygrid.sources.store import by_names
 
 
 def last_of_day(value: Column, *order: Column) -> Column:
@@ -36,13 +37,14 @@ def calendar(sources: list[DataFrame], start=None, end=None) -> DataFrame:
     return bounds.agg(lo.alias("lo"), hi.alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias(DATE))
 
 
-def densify(daily: DataFrame, entities: DataFrame, bounds: DataFrame, metrics: list[str]) -> DataFrame:
+def densify(daily: DataFrame, entities: DataFrame, bounds: DataFrame, metrics: list[str], names: int | None = None) -> DataFrame:
     """A row for every entity and day of the calendar; gaps are null.
 
     `bounds` is one row (lo, hi).  Each entity gets a seed row on the first
     day, and every row is stretched to the day before its successor, so the
     grid grows inside the entity partitions: one shuffle on entity, no product
     of entities and days, and later entity windows reuse the partitioning.
+    `names`, the number of entities if known, decides how many tasks share them.
     """
     ends = bounds.select(F.struct("lo", "hi").alias("b")).scalar()
     lo, hi = ends["lo"], ends["hi"]
@@ -53,7 +55,7 @@ def densify(daily: DataFrame, entities: DataFrame, bounds: DataFrame, metrics: l
         .where((F.col(DATE) >= lo) & (F.col(DATE) <= hi))
     )
     order = Window.partitionBy(ENTITY).orderBy(DATE, F.col("_seed").desc())
-    stretched = seeded.withColumn("_next", F.coalesce(F.lead(DATE).over(order), F.date_add(hi, 1))).where(
+    stretched = by_names(seeded, names, [ENTITY]).withColumn("_next", F.coalesce(F.lead(DATE).over(order), F.date_add(hi, 1))).where(
         F.col("_next") > F.col(DATE)
     )
     return stretched.select(

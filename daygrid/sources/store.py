@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daygrid.config import SETTINGS
+
 
 def folder(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; a scratch folder only on a local master that names none."""
@@ -46,6 +48,15 @@ def beside(df: DataFrame, small: DataFrame) -> DataFrame:
     return df.withColumn("_beside", F.explode(rows)).select(*df.columns, "_beside.*")
 
 
+def by_names(df: DataFrame, names: int | None, keys: list[str]) -> DataFrame:
+    """Rows of a wide panel dealt by `keys` to as many tasks as its entities fill, so a task's sort doesn't grow with them.
+
+    Where that is no more than the cores, the exchange of the window that follows is left to adaptive execution.
+    """
+    n = -(-(names or 0) // SETTINGS.names_per_task)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the scan alone would use fewer, for CPU-heavy text work.
 

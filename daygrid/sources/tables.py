@@ -70,8 +70,8 @@ def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.date_bounds(lines(spark, sf_dir).select(DATE))
 
 
-def _dense_panel(daily: DataFrame, entities: DataFrame, limits: DataFrame) -> DataFrame:
-    dense = P.densify(daily, entities, limits, ["price", *FLOWS, "qty", "qty_open"])
+def _dense_panel(daily: DataFrame, entities: DataFrame, limits: DataFrame, names: int | None = None) -> DataFrame:
+    dense = P.densify(daily, entities, limits, ["price", *FLOWS, "qty", "qty_open"], names)
     filled = {m: ffill(m, SETTINGS.max_fill_days) for m in ("price", *FLOWS)}
     whole = by_entity().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = F.lit(0.0)
@@ -115,7 +115,8 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense_panel(supplier_daily(spark, sf_dir), suppliers(spark, sf_dir), bounds(spark, sf_dir))
+    s = suppliers(spark, sf_dir)
+    return _dense_panel(supplier_daily(spark, sf_dir), s, bounds(spark, sf_dir), s.count())
 
 
 def brand_master(spark: SparkSession, sf_dir: str) -> DataFrame:

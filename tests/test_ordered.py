@@ -119,3 +119,10 @@ def test_more_rows_make_more_ranges_not_larger_ones(spark, tmp_path):
     assert held["n"].max() < 2 * 200_000 and len(held) == 5 and held["ranges"].max() == 1
     odd = np.arange(1, n, 2) % 977
     assert quantiles["m"] == np.quantile(np.concatenate([np.zeros(n // 2), odd]), 0.75)
+
+
+def test_wide_cross_sections_fill_tasks_by_their_names(spark):
+    df = spark.createDataFrame([(d, float((7 * i + d) % 101)) for d in range(3) for i in range(200)], "d int, v double")
+    narrow, wide = (X.winsorise(df, "v", ["d"], "w", n) for n in (200, 5000))
+    assert wide.rdd.getNumPartitions() == 25
+    assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, wide.collect()))
